@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, shard
+from . import decontaminate, mix, ngram_lm, quality, secrets, shard, simhash
 from .common import documents, word_count
 
 
@@ -28,13 +28,30 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(rows, shards=24).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(documents(spark, sf_dir).select("doc_id", "text"))
+    return scored.drop("probability")
+
+
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.held_out_scores(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), width=3, radius=3)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return decontaminate.digest(decontaminate.find_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_shard, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_shard, op6_quality_rules, op7_ngram_lm, op8_secret_scan, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
