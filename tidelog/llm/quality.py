@@ -13,8 +13,11 @@ from .common import WORD, checkpointed, words
 WINDOW = 5
 #: Rounds of expectation-maximisation at most, and the change of a probability that ends it.
 ROUNDS, TOLERANCE = 60, 1e-6
-#: Where it starts: share of good documents, probability of a vote that is right or wrong.
-PRIOR, RIGHT, WRONG = 0.85, 0.6, 0.1
+#: Where it starts: share of good documents, and how rules vote (good, bad) on good and on bad documents.
+PRIOR, START = 0.85, {True: (0.5, 0.0005), False: (0.3, 0.25)}
+#: A rule that calls a document bad is wrong on this share of good ones at most. Rules that catch
+#: different faults seldom agree, so without this bound the data can't tell a precise rule from noise.
+MOST_WRONG = 0.002
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
@@ -55,6 +58,7 @@ def add_features(docs: DataFrame) -> DataFrame:
             "n_dup_lines": (F.size("_tl_lines") - F.size(F.array_distinct("_tl_lines"))).cast("long"),
             "n_repeat_words": F.when(F.size(F.array_distinct(w)) < F.size(w), _covered(w)).otherwise(0).cast("long"),
             "_tl_n_lines": F.size("_tl_lines").cast("long"),
+            "_tl_stutter": F.size(F.filter(h, lambda x, i: F.coalesce(F.get(h, i - 1) == x, F.lit(False)))).cast("long"),
             "_tl_upper": _chars(text, r"[^\p{Lu}]+"),
             "_tl_shouts": _chars(text, r"[^!?]+"),
             "_tl_stops": F.regexp_count(text, F.lit(r"[.!?](?:[\x20\x09-\x0D]|$)")).cast("long"),
@@ -71,17 +75,18 @@ def votes() -> dict[str, Column]:
     n = F.greatest(F.col("n_words"), F.lit(1))
     share = lambda c: F.col(c) / n
     mean = F.col("word_chars") / n
-    many_lines = F.col("_tl_n_lines") >= 3
     upper = F.col("_tl_upper") / F.greatest(F.col("word_chars"), F.lit(1))
+    never = F.lit(False)
     return {
-        "length": _vote(F.col("n_words") < 15, F.col("n_words") >= 40),
-        "symbols": _vote(share("n_symbols") > 0.25, share("n_symbols") < 0.02),
-        "repeats": _vote(share("n_repeat_words") > 0.15, share("n_repeat_words") < 0.02),
-        "lines": _vote(F.col("n_dup_lines") > 0.3 * F.col("_tl_n_lines"), many_lines & (F.col("n_dup_lines") == 0)),
-        "word_length": _vote((mean < 2.5) | (mean > 12), (mean >= 3) & (mean <= 9)),
-        "capitals": _vote(upper > 0.4, upper < 0.12),
-        "shouting": _vote(share("_tl_shouts") > 0.25, share("_tl_shouts") < 0.03),
-        "sentences": _vote((F.col("n_words") >= 40) & (share("_tl_stops") < 0.005), (share("_tl_stops") > 0.02) & (share("_tl_stops") < 0.3)),
+        "length": _vote(F.col("n_words") < 10, F.col("n_words") >= 40),
+        "symbols": _vote(share("n_symbols") > 0.1, never),
+        "repeats": _vote(share("n_repeat_words") > 0.15, never),
+        "stutter": _vote(share("_tl_stutter") > 0.2, never),
+        "lines": _vote(F.col("n_dup_lines") > 0.3 * F.col("_tl_n_lines"), never),
+        "word_length": _vote((mean < 2.5) | (mean > 12), never),
+        "capitals": _vote(upper > 0.4, never),
+        "shouting": _vote(share("_tl_shouts") > 0.25, never),
+        "sentences": _vote(never, (share("_tl_stops") > 0.01) & (share("_tl_stops") < 0.5)),
     }
 
 
@@ -117,7 +122,8 @@ def fit(patterns: DataFrame, rules: list[str], prefix: str = "_tl_vote_") -> Lab
     number of documents. Each round is one aggregation over them, of which the sums, one row,
     come to the driver.
     """
-    model = LabelModel(PRIOR, {r: {True: {GOOD: RIGHT, BAD: WRONG, ABSTAIN: 1 - RIGHT - WRONG}, False: {GOOD: WRONG, BAD: RIGHT, ABSTAIN: 1 - RIGHT - WRONG}} for r in rules})
+    start = {y: {GOOD: g, BAD: b, ABSTAIN: 1 - g - b} for y, (g, b) in START.items()}
+    model = LabelModel(PRIOR, {r: start for r in rules})
     for _ in range(ROUNDS):
         good = F.col("n") * F.col("_tl_p")
         sums = [F.sum(good).alias("good"), F.sum("n").alias("all")]
@@ -135,10 +141,11 @@ def fit(patterns: DataFrame, rules: list[str], prefix: str = "_tl_vote_") -> Lab
             p[r] = {}
             for y in (True, False):
                 # one document's worth of votes, spread as at the start, keeps every probability above 0
-                start = {GOOD: RIGHT if y else WRONG, BAD: WRONG if y else RIGHT, ABSTAIN: 1 - RIGHT - WRONG}
-                q = {v: (max(seen[v][y], 0.0) + start[v]) / (count[y] + 1) for v in (GOOD, BAD)}
-                p[r][y] = q | {ABSTAIN: max((count[y] - seen[GOOD][y] - seen[BAD][y]), 0.0) / (count[y] + 1) + start[ABSTAIN] / (count[y] + 1)}
-        later = LabelModel((count[True] + PRIOR) / (s["all"] + 1), p)
+                q = {v: (max(seen[v][y], 0.0) + start[y][v]) / (count[y] + 1) for v in (GOOD, BAD)}
+                if y and q[BAD] > MOST_WRONG:
+                    q = {GOOD: q[GOOD] * (1 - MOST_WRONG) / (1 - q[BAD]), BAD: MOST_WRONG}
+                p[r][y] = q | {ABSTAIN: max(1 - q[GOOD] - q[BAD], start[y][ABSTAIN] / (count[y] + 1))}
+        later = LabelModel(min(max((count[True] + PRIOR) / (s["all"] + 1), 0.5), 0.99), p)
         change = max([abs(later.prior - model.prior), *(abs(p[r][y][v] - model.p[r][y][v]) for r in rules for y in (True, False) for v in (GOOD, BAD))])
         model = later
         if change < TOLERANCE:
