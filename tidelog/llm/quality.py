@@ -80,9 +80,9 @@ def votes() -> dict[str, Column]:
     return {
         "length": _vote(F.col("n_words") < 10, F.col("n_words") >= 40),
         "symbols": _vote(share("n_symbols") > 0.1, never),
-        "repeats": _vote(share("n_repeat_words") > 0.15, never),
+        "repeats": _vote(share("n_repeat_words") > 0.2, never),
         "stutter": _vote(share("_tl_stutter") > 0.2, never),
-        "lines": _vote(F.col("n_dup_lines") > 0.3 * F.col("_tl_n_lines"), never),
+        "lines": _vote((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * F.col("_tl_n_lines")), never),
         "word_length": _vote((mean < 2.5) | (mean > 12), never),
         "capitals": _vote(upper > 0.4, never),
         "shouting": _vote(share("_tl_shouts") > 0.25, never),
