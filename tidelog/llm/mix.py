@@ -111,3 +111,27 @@ def mixed_documents(docs: DataFrame, weights: DataFrame, budget: float, max_epoc
     sized = docs.select(F.col("doc_id"), F.col("source"), F.struct(*columns).alias("_tl_row"), F.col("text"), size.alias("size"))
     taken = mix_sources(sized, weights, budget, max_epochs, seed)
     return taken.where("_tl_copies > 0").select("_tl_row", F.explode(F.sequence(F.lit(1), F.col("_tl_copies")))).select("_tl_row.*")
+
+
+def oracle_sql(budget: float = 1.5, max_epochs: int = 2, seed: str = "mix") -> str:
+    """The rows of op1_mix_sources in DuckDB's SQL: one queue, sorted and summed whole."""
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || coalesce('|' || md5(text), '')) AS key FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM sized GROUP BY source
+), capped AS (SELECT *, CAST(source_size * {max_epochs} AS DOUBLE) AS cap, {budget} * sum(source_size) OVER () AS total FROM sources
+), steps AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t
+  FROM capped WINDOW w AS (ORDER BY cap / weight, source)
+), level AS (SELECT first(t ORDER BY cap / weight, source) FILTER (WHERE t < cap / weight) AS t FROM steps
+), targets AS (SELECT source, source_size, weight, total, CASE WHEN level.t IS NULL THEN cap ELSE least(cap, weight * level.t) END AS target FROM capped, level
+), queued AS (
+  SELECT d.doc_id, d.source, d.size, d.key, t.*  EXCLUDE (source), sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key) AS upto
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), entries AS (SELECT key, size, total, e AS epoch, (CAST(upto AS DOUBLE) + e * source_size) / weight AS finish FROM queued, unnest(range({max_epochs})) AS u(e)
+), spent AS (SELECT key, size, total, sum(size) OVER (ORDER BY finish, key, epoch ROWS UNBOUNDED PRECEDING) AS upto FROM entries
+), copies AS (SELECT key, count(*) FILTER (WHERE upto <= total) AS n FROM spent GROUP BY key)
+SELECT doc_id, size, source_size, target, CAST(size * n AS BIGINT) AS taken FROM queued q JOIN copies c ON q.key = c.key"""

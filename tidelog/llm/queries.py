@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, ngram_lm, quality, secrets, shard, simhash
+from . import chat, decontaminate, licenses, line_dedup, mix, ngram_lm, quality, secrets, shard, simhash
 from .common import documents, word_count
 
 
@@ -18,6 +18,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return line_dedup.drop_boilerplate(pages, ratio=0.3, least_pages=3).select("page_id", "host", "n_lines", "n_dropped", "text")
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select(
         "doc_id",
@@ -28,6 +33,14 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(rows, shards=24).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(documents(spark, sf_dir).select("doc_id", "text"))
     return scored.drop("probability")
@@ -51,8 +64,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_shard, op6_quality_rules, op7_ngram_lm, op8_secret_scan, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_shard, op4_chat_format, op5_license_scan, op6_quality_rules, op7_ngram_lm, op8_secret_scan, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_sources": mix.oracle_sql(), "op2_line_dedup": line_dedup.oracle_sql(), "op4_chat_format": chat.oracle_sql(), "op5_license_scan": licenses.oracle_sql()}
