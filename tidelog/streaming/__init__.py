@@ -1 +1 @@
-
+"""Change logs as streams: file sources, ordered state per log, append-only sinks."""
