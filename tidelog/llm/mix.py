@@ -110,7 +110,7 @@ def mixed_documents(docs: DataFrame, weights: DataFrame, budget: float, max_epoc
     columns = [F.col(f"`{c}`") for c in docs.columns]
     sized = docs.select(F.col("doc_id"), F.col("source"), F.struct(*columns).alias("_tl_row"), F.col("text"), size.alias("size"))
     taken = mix_sources(sized, weights, budget, max_epochs, seed)
-    return taken.where("_tl_copies > 0").select("_tl_row", F.explode(F.sequence(F.lit(1), F.col("_tl_copies")))).select("_tl_row.*")
+    return taken.where("_tl_copies > 0 AND size > 0").select("_tl_row", F.explode(F.sequence(F.lit(1), F.col("_tl_copies")))).select("_tl_row.*")
 
 
 def oracle_sql(budget: float = 1.5, max_epochs: int = 2, seed: str = "mix") -> str:
