@@ -12,7 +12,7 @@ from .common import WORD, checkpointed, words
 #: Words of a window that counts as repeated when the text has it twice.
 WINDOW = 5
 #: Rounds of expectation-maximisation at most, and the change of a probability that ends it.
-ROUNDS, TOLERANCE = 60, 1e-6
+ROUNDS, TOLERANCE = 40, 1e-5
 #: Where it starts: share of good documents, and how rules vote (good, bad) on good and on bad documents.
 PRIOR, START = 0.85, {True: (0.5, 0.0005), False: (0.3, 0.25)}
 #: A rule that calls a document bad is wrong on this share of good ones at most. Rules that catch
@@ -153,12 +153,24 @@ def fit(patterns: DataFrame, rules: list[str], prefix: str = "_tl_vote_") -> Lab
     return model
 
 
-def _with_votes(featured: DataFrame) -> DataFrame:
-    return featured.withColumns({f"_tl_vote_{r}": v for r, v in votes().items()})
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_tl_n_lines", "_tl_stutter", "_tl_upper", "_tl_shouts", "_tl_stops")
+
+
+def _with_votes(docs: DataFrame) -> DataFrame:
+    """docs with the counts and the votes.
+
+    The counts pass through explode(), of one element each, as a filter on them would
+    otherwise be moved below their computation and repeat it for each mention.
+    """
+    featured = add_features(docs)
+    kept = [c for c in featured.columns if c not in FEATURES]
+    counted = featured.select(*kept, F.explode(F.array(F.struct(*FEATURES))).alias("_tl_f")).select(*kept, "_tl_f.*")
+    return counted.withColumns({f"_tl_vote_{r}": v for r, v in votes().items()})
 
 
 def _patterns(voted: DataFrame) -> DataFrame:
-    return checkpointed(voted.groupBy(*(f"_tl_vote_{r}" for r in votes())).agg(F.count(F.lit(1)).alias("n")))
+    """The votes' combinations: few rows whatever the input, so one partition holds them for the rounds."""
+    return checkpointed(voted.groupBy(*(f"_tl_vote_{r}" for r in votes())).agg(F.count(F.lit(1)).alias("n")).repartition(1))
 
 
 def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -169,7 +181,7 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     text is an empty one and fails. Repeated rows are judged alike. An empty table gives no rows.
     """
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    voted = _with_votes(add_features(docs.select("doc_id", "text")))
+    voted = _with_votes(docs.select("doc_id", "text"))
     narrow = checkpointed(voted.select("doc_id", *base, *(f"_tl_vote_{r}" for r in votes())))
     model = fit(_patterns(narrow), list(votes()))
     out = narrow.withColumn("base_failed", base_failed()).withColumn("probability", model.probability())
@@ -179,6 +191,6 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score_quality keeps, with the columns of docs. Texts are read twice instead of being stored."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    voted = _with_votes(add_features(docs.select("text", F.struct(*columns).alias("_tl_row"))))
+    voted = _with_votes(docs.select("text", F.struct(*columns).alias("_tl_row")))
     model = fit(_patterns(voted), list(votes()))
     return voted.where(~base_failed() & (model.probability() >= threshold)).select("_tl_row.*")
