@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,38 +107,44 @@ class LabelModel:
         wrong = self.prior * self.p[rule][True][BAD] + (1 - self.prior) * self.p[rule][False][GOOD]
         return right / (right + wrong)
 
-    def probability(self, prefix: str = "_tl_vote_") -> Column:
-        """Posterior probability that a document is good, from its vote columns."""
-        logit = F.lit(math.log(self.prior / (1 - self.prior)))
-        for rule, p in self.p.items():
-            weight = {v: math.log(p[True][v] / p[False][v]) for v in (GOOD, BAD, ABSTAIN)}
-            logit = logit + F.when(F.col(prefix + rule) == GOOD, weight[GOOD]).when(F.col(prefix + rule) == BAD, weight[BAD]).otherwise(weight[ABSTAIN])
-        return 1 / (1 + F.exp(-logit))
+    def weights(self) -> list[float]:
+        """Log-odds of each vote, in the order of vote_codes(), and of being good at all."""
+        votes = [math.log(p[True][v] / p[False][v]) for p in self.p.values() for v in (BAD, ABSTAIN, GOOD)]
+        return [*votes, math.log(self.prior / (1 - self.prior))]
+
+    def probability(self, codes: Column) -> Column:
+        """Posterior probability that a document is good, from its vote codes."""
+        weights = F.array(*map(F.lit, self.weights()))
+        return 1 / (1 + F.exp(-F.aggregate(codes, F.lit(0.0), lambda s, c: s + F.element_at(weights, c))))
+
+
+def vote_codes(rules: Iterable[str], prefix: str = "_tl_vote_") -> Column:
+    """Each rule's vote as a number from 1, three for each rule in turn, and one last number that all documents have."""
+    rules = list(rules)
+    return F.array(*(F.col(prefix + r) + (3 * i + 2) for i, r in enumerate(rules)), F.lit(3 * len(rules) + 1))
 
 
 def fit(patterns: DataFrame, rules: list[str], prefix: str = "_tl_vote_") -> LabelModel:
     """The label model of all documents. patterns: one row for each combination of votes, with its count n.
 
     There are 3 to the power of the rules' number of combinations at most, whatever the
-    number of documents. Each round is one aggregation over them, of which the sums, one row,
-    come to the driver.
+    number of documents. Each round is one aggregation over them, of which the sums, one
+    row a vote, come to the driver.
     """
     start = {y: {GOOD: g, BAD: b, ABSTAIN: 1 - g - b} for y, (g, b) in START.items()}
     model = LabelModel(PRIOR, {r: start for r in rules})
+    coded = patterns.select("n", vote_codes(rules, prefix).alias("codes"))
     for _ in range(ROUNDS):
-        good = F.col("n") * F.col("_tl_p")
-        sums = [F.sum(good).alias("good"), F.sum("n").alias("all")]
-        for r in rules:
-            for v in (GOOD, BAD):
-                hit = F.col(prefix + r) == v
-                sums += [F.sum(F.when(hit, good).otherwise(0.0)).alias(f"g_{r}_{v}"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(f"n_{r}_{v}")]
-        s = patterns.withColumn("_tl_p", model.probability(prefix)).agg(*sums).first().asDict()
-        if not s["all"]:
+        voted = coded.select("n", model.probability(F.col("codes")).alias("p"), F.explode("codes").alias("code"))
+        sums = {r["code"]: (r["good"], r["n"]) for r in voted.groupBy("code").agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("n")).collect()}
+        if not sums:
             break
-        count = {True: s["good"], False: s["all"] - s["good"]}
+        good, every = sums[3 * len(rules) + 1]
+        count = {True: good, False: every - good}
         p = {}
-        for r in rules:
-            seen = {v: {True: s[f"g_{r}_{v}"], False: s[f"n_{r}_{v}"] - s[f"g_{r}_{v}"]} for v in (GOOD, BAD)}
+        for i, r in enumerate(rules):
+            own = {v: sums.get(3 * i + 2 + v, (0.0, 0)) for v in (GOOD, BAD)}
+            seen = {v: {True: own[v][0], False: own[v][1] - own[v][0]} for v in (GOOD, BAD)}
             p[r] = {}
             for y in (True, False):
                 # one document's worth of votes, spread as at the start, keeps every probability above 0
@@ -145,7 +152,7 @@ def fit(patterns: DataFrame, rules: list[str], prefix: str = "_tl_vote_") -> Lab
                 if y and q[BAD] > MOST_WRONG:
                     q = {GOOD: q[GOOD] * (1 - MOST_WRONG) / (1 - q[BAD]), BAD: MOST_WRONG}
                 p[r][y] = q | {ABSTAIN: max(1 - q[GOOD] - q[BAD], start[y][ABSTAIN] / (count[y] + 1))}
-        later = LabelModel(min(max((count[True] + PRIOR) / (s["all"] + 1), 0.5), 0.99), p)
+        later = LabelModel(min(max((count[True] + PRIOR) / (every + 1), 0.5), 0.99), p)
         change = max([abs(later.prior - model.prior), *(abs(p[r][y][v] - model.p[r][y][v]) for r in rules for y in (True, False) for v in (GOOD, BAD))])
         model = later
         if change < TOLERANCE:
@@ -184,7 +191,7 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     voted = _with_votes(docs.select("doc_id", "text"))
     narrow = checkpointed(voted.select("doc_id", *base, *(f"_tl_vote_{r}" for r in votes())))
     model = fit(_patterns(narrow), list(votes()))
-    out = narrow.withColumn("base_failed", base_failed()).withColumn("probability", model.probability())
+    out = narrow.withColumn("base_failed", base_failed()).withColumn("probability", model.probability(vote_codes(votes())))
     return out.select("doc_id", *base, "base_failed", (~F.col("base_failed") & (F.col("probability") >= threshold)).alias("kept"), "probability")
 
 
@@ -193,4 +200,4 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in docs.columns]
     voted = _with_votes(docs.select("text", F.struct(*columns).alias("_tl_row")))
     model = fit(_patterns(voted), list(votes()))
-    return voted.where(~base_failed() & (model.probability() >= threshold)).select("_tl_row.*")
+    return voted.where(~base_failed() & (model.probability(vote_codes(votes())) >= threshold)).select("_tl_row.*")
