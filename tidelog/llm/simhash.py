@@ -18,8 +18,8 @@ SEED = 42
 LEAF_ROWS, SAMPLE = 8192, 1 << 16
 #: Vantage points tried at each node.
 TRIED = 24
-#: Rows compared at once with a range of others.
-CHUNK = 64
+#: Rows compared at once with as many others.
+CHUNK, TILE = 64, 1 << 14
 
 
 # --- fingerprints ---------------------------------------------------------------------------
@@ -155,13 +155,17 @@ def components(points: np.ndarray, home: np.ndarray, radius: int, sizes: np.ndar
     for at in range(0, len(mine), CHUNK):
         rows = mine[at : at + CHUNK]
         low, high = np.searchsorted(key, key[rows[0]] - radius), np.searchsorted(key, key[rows[-1]] + radius, "right")
-        apart = np.zeros((len(rows), high - low), np.uint16)
-        for lane in range(points.shape[1]):
-            apart += np.bitwise_count(points[rows, lane][:, None] ^ points[None, low:high, lane])
-        near = apart <= radius
-        if sizes is not None:
-            a, b = sizes[rows][:, None], sizes[None, low:high]
-            near &= np.minimum(a, b) >= ratio * np.maximum(a, b)
+        near = np.empty((len(rows), high - low), bool)
+        for left in range(low, high, TILE):
+            right = min(left + TILE, high)
+            apart = np.zeros((len(rows), right - left), np.uint16)
+            for lane in range(points.shape[1]):
+                apart += np.bitwise_count(points[rows, lane][:, None] ^ points[None, left:right, lane])
+            close = apart <= radius
+            if sizes is not None:
+                a, b = sizes[rows][:, None], sizes[None, left:right]
+                close &= np.minimum(a, b) >= ratio * np.maximum(a, b)
+            near[:, left - low : right - low] = close
         for i in np.flatnonzero(near.sum(1) > 1).tolist():
             roots = np.unique(label[low:high][near[i]])
             if len(roots) > 1:
