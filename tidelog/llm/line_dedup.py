@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Parts that the pages of a host are dealt into where they meet its list, so that a hot host is no single task.
+SALTS = 16
 #: Tags that end a line of a page.
 BLOCKS = r"(?is)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|table|tr|td|th|h[1-6]|title|body|head|html|blockquote|pre|hr)\b[^>]*>"
 #: What a reader of a page does not see.
@@ -30,7 +32,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 3)
     and `least_pages` of them at least. A line counts once a page. Lines are counted
     with partial sums before the shuffle, so that a hot host or line adds a row for each task.
     A host has at most the lines of its average page divided by `ratio` such lines,
-    so that its list stays small; pages meet it by their host.
+    so that its list stays small; pages meet it by their host, a hot host's in SALTS parts.
 
     Pages whose url has no host, or is null, form one site, whose host is null. A null html has no
     lines. Repeated rows are pages of their own. Equal counts need no tie-break.
@@ -41,10 +43,12 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 3)
     lines = split.select(host, F.explode(F.array_distinct("_tl_lines")).alias("_tl_line")).groupBy("_tl_host", "_tl_line").agg(F.count(F.lit(1)).alias("_tl_n"))
     frequent = lines.where(F.col("_tl_n") >= least_pages).join(totals, "_tl_host").where(F.col("_tl_n") > ratio * F.col("_tl_pages"))
     lists = frequent.groupBy("_tl_host").agg(F.collect_list("_tl_line").alias("_tl_drop")).withColumnRenamed("_tl_host", "_tl_site")
-    met = split.join(lists, F.col("_tl_host") == F.col("_tl_site"), "left")
+    salted = lists.withColumn("_tl_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = split.withColumn("_tl_salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int"))
+    met = dealt.join(salted, (F.col("_tl_host") == F.col("_tl_site")) & (F.col("_tl_salt") == F.col("_tl_part")), "left")
     left = F.when(F.col("_tl_drop").isNull(), F.col("_tl_lines")).otherwise(F.filter("_tl_lines", lambda x: ~F.array_contains("_tl_drop", x)))
     out = met.withColumn("_tl_left", left).withColumns({"host": F.nullif("_tl_host", F.lit("")), "n_lines": F.size("_tl_lines").cast("long"), "n_dropped": (F.size("_tl_lines") - F.size("_tl_left")).cast("long"), "text": F.array_join("_tl_left", "\n")})
-    return out.drop("_tl_host", "_tl_lines", "_tl_site", "_tl_drop", "_tl_left")
+    return out.drop("_tl_host", "_tl_lines", "_tl_site", "_tl_drop", "_tl_left", "_tl_salt", "_tl_part")
 
 
 def oracle_sql(ratio: float = 0.3, least_pages: int = 3) -> str:
