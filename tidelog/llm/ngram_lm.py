@@ -170,15 +170,18 @@ def _by_shard(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, there, np.cumsum(counts)
 
 
-def frequent_words(docs: DataFrame, shards: int) -> list[int]:
-    """Hashes of words with over a quarter of a shard's share of a small sample's tokens: 4 * shards at most."""
-    kept = docs.select("text").where("text is not null").limit(HOT_SAMPLE)
+def frequent_words(docs: DataFrame, shards: int, rows: int) -> list[int]:
+    """Hashes of words with over a quarter of a shard's share of a sample's tokens: 4 * shards at most.
+
+    The sample is of about HOT_SAMPLE documents, chosen by hash; it decides where bigrams are counted, not what is counted.
+    """
+    kept = docs.select("text").where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(max(1, rows // HOT_SAMPLE))) == 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block = Block()
             for text in batch.column("text"):
-                block.add(text.as_buffer().to_pybytes()[:100_000])
+                block.add(text.as_buffer().to_pybytes())
             ids, n = np.unique(np.concatenate([d[:-1] for d in block.docs]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(block.hashes()[ids].view(np.int64)), pa.array(n)], ["h", "n"])
 
@@ -194,13 +197,14 @@ def train(docs: DataFrame) -> Model:
     """
     spark = docs.sparkSession
     use_checkpoint_dir(spark)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    size = size or 0
     shards = max(4, -(-size // (7 * SHARD_ROWS)))
     uri = f"{spark.sparkContext.getCheckpointDir()}/ngrams-{uuid.uuid4().hex}"
     store, base = _store(uri if "://" in uri or uri.startswith(("/", "file:")) else f"/{uri}")
     store.create_dir(base)
     uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
-    hot_list = frequent_words(docs, shards)
+    hot_list = frequent_words(docs, shards, rows)
     hot = np.array(hot_list, np.uint64)
 
     def chunks(block: Block) -> pa.RecordBatch:
