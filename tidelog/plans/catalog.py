@@ -101,9 +101,10 @@ def d2_uncovered_intervals(spark, sf_dir):
     return iv.uncovered_intervals(t.previous_sets(events), t.held_set(events), ["source"])
 
 
-@query('SELECT source, start, "end" FROM held WHERE source = 3')
-def i3_one_source(spark, sf_dir):
-    return t.held_set(t.change_events(spark, sf_dir)).where("source = 3")
+@query("SELECT source, count(*) AS intervals, CAST(sum(\"end\" - start) AS BIGINT) AS numbers FROM " + RUNS.format(where="event_type <> 'error'") + " GROUP BY source")
+def i3_by_source(spark, sf_dir):
+    runs = iv.numbers_to_intervals(t.change_events(spark, sf_dir).where("event_type <> 'error'"), ["source"])
+    return runs.groupBy("source").agg(F.count(F.lit(1)).alias("intervals"), F.sum(F.col("end") - F.col("start")).cast("long").alias("numbers"))
 
 
 @query(

@@ -20,14 +20,16 @@ def d5_position_breaks(spark, sf_dir):
     return checks.position_breaks(stated, ["signup"]).select("event_id", "next_pos")
 
 
-@query("SELECT * FROM (SELECT event_id, pos - lag(end_pos) OVER (PARTITION BY file_no ORDER BY pos) AS gap FROM change_events WHERE event_id % 53 <> 7) WHERE gap > 0")
+@query("SELECT * FROM (SELECT event_id, pos - lag(end_pos - CASE WHEN event_id % 53 = 7 THEN 3 ELSE 0 END) OVER (PARTITION BY file_no ORDER BY pos) AS gap FROM change_events) WHERE gap > 0")
 def d14_gaps(spark, sf_dir):
-    return checks.gaps(t.change_events(spark, sf_dir).where("event_id % 53 <> 7")).select("event_id", "gap")
+    """Some events end three bytes early."""
+    return checks.gaps(t.change_events(spark, sf_dir).withColumn("end_pos", F.col("end_pos") - F.when(F.col("event_id") % 53 == 7, 3).otherwise(0))).select("event_id", "gap")
 
 
-@query("SELECT * FROM (SELECT event_id, seq, (lag(seq) OVER (PARTITION BY file_no ORDER BY pos) + 1) % 256 AS expected FROM (SELECT *, event_id % 256 AS seq FROM change_events WHERE event_id % 101 <> 3)) WHERE seq <> expected")
+@query("SELECT * FROM (SELECT event_id, seq, (lag(seq) OVER (PARTITION BY file_no ORDER BY pos) + 1) % 256 AS expected FROM (SELECT *, (event_id + CASE WHEN event_id % 101 = 3 THEN 1 ELSE 0 END) % 256 AS seq FROM change_events)) WHERE seq <> expected")
 def g2_sequence_breaks(spark, sf_dir):
-    packets = t.change_events(spark, sf_dir).where("event_id % 101 <> 3").withColumn("seq", F.col("event_id") % 256)
+    """Some events carry the number of the next one."""
+    packets = t.change_events(spark, sf_dir).withColumn("seq", (F.col("event_id") + F.when(F.col("event_id") % 101 == 3, 1).otherwise(0)) % 256)
     return checks.sequence_breaks(packets).select("event_id", "seq", "expected")
 
 
@@ -73,9 +75,10 @@ def a13_rebuild_checks(spark, sf_dir):
     return checks.rebuild_checks(rows)
 
 
-@query("SELECT name, count(*) AS n FROM (SELECT file AS name FROM change_events WHERE event_id % 400 = 0) GROUP BY name HAVING count(*) > 1")
+@query("SELECT file AS name, count(*) AS n FROM change_events GROUP BY file HAVING count(*) > 1")
 def i4_duplicate_names(spark, sf_dir):
-    return checks.duplicate_names(t.change_events(spark, sf_dir).where("event_id % 400 = 0").select(F.col("file").alias("name")))
+    """An index with a line for each event."""
+    return checks.duplicate_names(t.change_events(spark, sf_dir).select(F.col("file").alias("name")))
 
 
 @query(
