@@ -130,3 +130,23 @@ def test_purge_stops_at_the_first_file_that_stays(spark):
     catalog = spark.createDataFrame(rows, "file_no long, size long, created_at long, in_use boolean, on_disk boolean, pins int")
     kept = {r["file_no"]: r["removed"] for r in retention.purge(catalog, cutoff=450, high=10**9, low=0, available=10, min_free=0).collect()}
     assert kept == {1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_tagged_bodies_refuse_disorder_and_missing_fields():
+    whole = decode.tagged_bytes(b"u" * 16, 5, "tag", 337)
+    assert decode.tagged_fields(whole) == (b"u" * 16, 5, "tag", 337)
+    assert decode.tagged_fields(decode.tagged_bytes(b"\xff" * 16, 2**62, "t", None)) == (b"\xff" * 16, 2**62, "t", None)
+    for bad in (whole[:20], b"", varied(whole, 0, 4), decode.tagged_bytes(b"u" * 16, 5, "x" * 33, 1)):
+        with pytest.raises(ValueError):
+            decode.tagged_fields(bad)
+
+
+def varied(data, at, value):
+    return data[:at] + bytes([value]) + data[at + 1 :]
+
+
+def test_heartbeats_step_over_unknown_fields():
+    body = decode.heartbeat_bytes("log.000001", 2**33)
+    assert decode.heartbeat_fields(b"\x09\x02ab" + body) == ("log.000001", 2**33)
+    with pytest.raises(ValueError):
+        decode.heartbeat_fields(body[:-1])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -165,22 +165,118 @@ def decode_sets(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, column).mapInArrow(run, f"{key} {kind}, uuid binary, start long, end long")
 
 
-def decode_transactions(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, uuid, gno, txn_length) of a column of bodies; uuid is null where a body is malformed."""
+def description_bytes(version: Column, created: Column, algorithm: Column) -> Column:
+    """A format description body: log version 4, server version in 50 bytes, creation time, header length 19, checksum algorithm and room."""
+    padded = F.concat(F.encode(version, "UTF-8"), F.unhex(F.repeat(F.lit("00"), 50 - F.octet_length(version))))
+    return F.concat(encoded_number(F.lit(4), 2), padded, encoded_number(created, 4), encoded_number(F.lit(19), 1), encoded_number(algorithm, 1), F.unhex(F.lit("00000000")))
+
+
+def description_fields(body: Column) -> list[Column]:
+    """Log version, server version up to its first zero byte, created, header length; null where the header is shorter than 19."""
+    length = little_endian(body, 56, 1)
+    version = F.regexp_extract(F.decode(F.substring(body, 3, 50), "ISO-8859-1"), r"^([^\x00]*)", 1)
+    fields = {"log_version": little_endian(body, 0, 2), "server_version": version, "created": little_endian(body, 52, 4), "header_length": length}
+    return [F.when(length >= 19, c).alias(n) for n, c in fields.items()]
+
+
+def equal_for_resume(stored: Column, resent: Column, checksum_bytes: int = 4) -> Column:
+    """Two description bodies are the same but for the time of creation and the checksum."""
+    masked = lambda b: F.concat(F.substring(b, 1, 52), F.substring(b, 57, F.octet_length(b) - 56 - checksum_bytes))
+    return masked(stored) == masked(resent)
+
+
+#: Field numbers of a tagged transaction's body; they only ascend.
+TAG_FLAGS, TAG_UUID, TAG_GNO, TAG_TAG, TAG_LENGTH, MOST_TAG = 0, 1, 2, 3, 8, 32
+
+
+def tagged_bytes(uuid: bytes, gno: int, tag: str, length: int | None) -> bytes:
+    """A tagged transaction's body: version, size, last field that must be known, then fields."""
+    fields = varint_bytes(TAG_FLAGS) + varint_bytes(1) + varint_bytes(TAG_UUID) + b"".join(map(varint_bytes, uuid)) + varint_bytes(TAG_GNO) + varint_bytes(gno << 1)
+    fields += varint_bytes(TAG_TAG) + varint_bytes(len(tag)) + tag.encode()
+    fields += b"" if length is None else varint_bytes(TAG_LENGTH) + varint_bytes(length)
+    return varint_bytes(1) + varint_bytes(len(fields) + 3) + varint_bytes(TAG_TAG) + fields
+
+
+def tagged_fields(body: bytes) -> tuple[bytes, int, str, int | None]:
+    """Uuid, gno, tag and length (null if absent). Fields out of order, missing or overlong are refused."""
+    r = Reader(body)
+    if r.varint() != 1 or r.varint() > len(body):
+        raise ValueError("no such message")
+    r.varint()
+    found: dict[int, object] = {}
+    last = -1
+    while r.at < len(body) and last < TAG_LENGTH:
+        field = r.varint()
+        if field <= last:
+            raise ValueError("fields out of order")
+        if field > TAG_LENGTH:
+            break
+        last = field
+        if field == TAG_UUID:
+            found[field] = bytes(r.varint() for _ in range(16))
+        elif field == TAG_GNO:
+            found[field] = r.signed()
+        elif field == TAG_TAG:
+            size = r.varint()
+            if size > MOST_TAG:
+                raise ValueError("tag too long")
+            found[field] = r.take(size).decode()
+        else:
+            found[field] = r.varint()
+    if not {TAG_UUID, TAG_GNO, TAG_TAG} <= set(found):
+        raise ValueError("fields are missing")
+    return found[TAG_UUID], found[TAG_GNO], found[TAG_TAG], found.get(TAG_LENGTH)
+
+
+def heartbeat_bytes(name: str, position: int) -> bytes:
+    """(type, length, value) of the name and of the position, then the end mark."""
+    raw, inner = name.encode(), packed_bytes(position)
+    return b"\x01" + packed_bytes(len(raw)) + raw + b"\x02" + packed_bytes(len(inner)) + inner + b"\x00"
+
+
+def heartbeat_fields(body: bytes) -> tuple[str | None, int | None]:
+    """Name and position of a heartbeat's second form; other fields are stepped over."""
+    r, name, position = Reader(body), None, None
+    while (field := r.packed()) != 0:
+        if field is None:
+            raise ValueError("null field")
+        size = r.packed()
+        if size is None:
+            raise ValueError("null length")
+        value = r.take(size)
+        if field == 1:
+            name = value.decode()
+        elif field == 2:
+            position = Reader(value).packed()
+            if position is None:
+                raise ValueError("null position")
+    return name, position
+
+
+def map_bodies(df: DataFrame, key: str, columns: list[str], f: Callable[..., tuple], schema: str) -> DataFrame:
+    """(key, *fields) of f over columns, in Arrow batches; the fields are null where f refuses a row."""
     kind = df.schema[key].dataType.simpleString()
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
+    types = [kinds[part.strip().split(" ")[1]] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for data in batch.column(1).to_pylist():
+            for args in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 try:
-                    found.append(transaction_fields(data or b""))
+                    found.append(f(*args))
                 except ValueError:
-                    found.append((None, None, None))
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], [key, "uuid", "gno", "txn_length"])
+                    found.append((None,) * len(names))
+            cells = list(zip(*found, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, t) for c, t in zip(cells, types, strict=True))], [key, *names])
 
-    return df.select(key, column).mapInArrow(run, f"{key} {kind}, uuid binary, gno long, txn_length long")
+    return df.select(key, *columns).mapInArrow(run, f"{key} {kind}, {schema}")
+
+
+def decode_transactions(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, uuid, gno, txn_length) of a column of bodies."""
+    return map_bodies(df, key, [column], transaction_fields, "uuid binary, gno long, txn_length long")
 
 
 def scan_log_bytes(files: DataFrame) -> DataFrame:

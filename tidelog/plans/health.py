@@ -440,3 +440,30 @@ def k3_system_variables(spark, sf_dir):
     ids = named("server_id", events.agg(F.count_distinct("source").alias("value")))
     mode = named("gtid_mode", events.agg(F.lit("ON").alias("value")))
     return ids.unionByName(mode).unionByName(named("gtid_executed", executed)).unionByName(named("last_file", events.agg(F.max("file").alias("value"))))
+
+
+@query("SELECT file_no, 4 AS log_version, '8.' || file_no % 5 || '.' || file_no AS server_version, created_at AS created, 19 AS header_length, file_no % 2 = 0 AS same FROM file_catalog")
+def c2_descriptions(spark, sf_dir):
+    """Format descriptions are written and read back, and compared with ones sent again (c5)."""
+    files = t.file_catalog(t.change_events(spark, sf_dir))
+    version = F.concat_ws(".", F.lit("8"), (F.col("file_no") % 5).cast("string"), F.col("file_no").cast("string"))
+    again = F.when(F.col("file_no") % 2 == 0, version).otherwise(F.lit("5.7.1"))
+    bodies = files.select("file_no", decode.description_bytes(version, F.col("created_at"), F.lit(1)).alias("b"), decode.description_bytes(again, F.col("created_at") + 9, F.lit(1)).alias("r"))
+    return bodies.select("file_no", *decode.description_fields(F.col("b")), decode.equal_for_resume(F.col("b"), F.col("r")).alias("same"))
+
+
+@query("SELECT event_id, md5(CAST(source AS VARCHAR)) AS hex, gno, event_type AS tag, CASE WHEN event_id % 3 > 0 THEN len * 1000 END AS txn_length FROM change_events")
+def c7_tagged_bodies(spark, sf_dir):
+    """Bodies of tagged transactions are written and decoded."""
+    events = t.change_events(spark, sf_dir).select("event_id", F.unhex(F.md5(F.col("source").cast("string").cast("binary"))).alias("u"), "gno", "event_type", F.when(F.col("event_id") % 3 > 0, F.col("len") * 1000).alias("length"))
+    written = decode.map_bodies(events, "event_id", ["u", "gno", "event_type", "length"], lambda *x: (decode.tagged_bytes(*x),), "b binary")
+    fields = decode.map_bodies(written, "event_id", ["b"], decode.tagged_fields, "uuid binary, gno long, tag string, txn_length long")
+    return fields.select("event_id", F.lower(F.hex("uuid")).alias("hex"), "gno", "tag", "txn_length")
+
+
+@query("SELECT event_id, file AS name, pos * 70000 AS position FROM change_events")
+def c10_heartbeats(spark, sf_dir):
+    """Heartbeats of the second form are written and decoded."""
+    events = t.change_events(spark, sf_dir).select("event_id", "file", (F.col("pos") * 70000).alias("p"))
+    written = decode.map_bodies(events, "event_id", ["file", "p"], lambda *x: (decode.heartbeat_bytes(*x),), "b binary")
+    return decode.map_bodies(written, "event_id", ["b"], decode.heartbeat_fields, "name string, position long")
