@@ -437,3 +437,10 @@ def test_short_items_and_nasty_tables(spark, nasty, empty):
     assert decontaminate.remove_documents(nasty, bench).columns == nasty.columns
     cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(nasty, bench).collect()}
     assert cut[1] == " a plain text that says nothing much at all today." and cut[5] == "Same words here"
+
+
+def test_equal_ids_of_different_texts_both_stay(spark):
+    a, b = "one two three four five six seven", "some other text of words that has nothing in common"
+    rows = [(5, a), (5, b), (5, b), (9, a), (None, a), (None, "only a text without an id here now")]
+    kept = sorted(simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert kept == sorted([(5, a), (5, b), (None, rows[-1][1])], key=str)

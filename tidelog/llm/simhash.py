@@ -236,12 +236,12 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def with_components(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
-    """rows with component_id: the smallest doc_id of the rows whose keys links (a, b) join."""
+    """rows with component_id, the smallest doc_id of the rows whose keys links (a, b) join, and group, their smallest key."""
     roots = connected(links)
     nodes = rows.groupBy(key).agg(F.min("doc_id").alias("_tl_min"))
     rooted = nodes.join(roots, nodes[key] == roots["node"], "left").select(key, "_tl_min", F.coalesce("root", key).alias("_tl_root"))
     smallest = rooted.groupBy("_tl_root").agg(F.min("_tl_min").alias("component_id"))
-    named = rooted.join(smallest, "_tl_root").select(F.col(key).alias("_tl_key"), "component_id")
+    named = rooted.join(smallest, "_tl_root").select(F.col(key).alias("_tl_key"), "component_id", F.col("_tl_root").alias("group"))
     return rows.join(named, rows[key] == named["_tl_key"]).drop("_tl_key")
 
 
@@ -283,7 +283,7 @@ def bits_apart(similarity: float, bits: int, slack: float = 1.3) -> int:
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "whole", "size", "anchors", *(f"f{k}" for k in range(len(LANES)))]
+    names = ["doc_id", "text_hash", "whole", "size", "anchors", *(f"f{k}" for k in range(len(LANES)))]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,20 +296,22 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                 anchors.append(hashes[:ANCHORS].view(np.int64))
                 prints.append(lanes(hashes) if len(hashes) else [0] * len(LANES))
             values = np.array(prints, np.uint64).reshape(-1, len(LANES)).view(np.int64)
-            cells = [batch.column("doc_id"), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))]
+            cells = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*cells, *(pa.array(values[:, k]) for k in range(len(LANES)))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, whole long, size long, anchors array<long>, " + ", ".join(f"{n} long" for n in names[4:]))
+    read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return read.mapInArrow(of, f"doc_id {kind}, text_hash long, whole long, size long, anchors array<long>, " + ", ".join(f"{n} long" for n in names[5:]))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, whole, component_id): groups of documents whose sets of `width`-word shingles are alike.
+    """(doc_id, text_hash, whole, component_id, group): groups of documents whose sets of `width`-word shingles are alike.
 
     64 bits tell apart sets of similarity 0.8 only at a radius of about 14, where random
     fingerprints, 32 +- 4 bits apart, defeat a vantage-point tree. So documents are
     sharded by their smallest shingle hashes first, of which similar sets share some
     almost surely; in a shard, fingerprints of 256 bits are compared behind the
-    triangle bound, and sets whose sizes alone rule the similarity out are not linked. whole: hash of the words.
+    triangle bound, and sets whose sizes alone rule the similarity out are not linked. whole is the hash of a document's
+    words, group that of one member.
     Equal documents count once. Documents without words form one group.
     """
     prints = [f"f{k}" for k in range(len(LANES))]
@@ -348,19 +350,20 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             yield links(left)
 
     found = meets.select(*names).repartition(shuffle_partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(groups, "a long, b long")
-    return with_components(rows.select("doc_id", "whole"), "whole", found)
+    return with_components(rows.select("doc_id", "text_hash", "whole"), "whole", found)
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays, with the columns of docs.
 
-    Of equal doc_ids in a group one row stays; a null doc_id stays only if its group has no other.
+    A null doc_id stays only if its group has no other. Of rows with that doc_id the one
+    with the smallest text hash stays, of equal rows one. Equal ids of different groups don't meet.
     """
     groups = similar_groups(docs, width, similarity)
-    one = Window.partitionBy("_tl_id").orderBy("_tl_text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_tl_keep"), F.col("text_hash").alias("_tl_hash")))
+    stays = groups.groupBy("group").agg(first.alias("x")).select("x._tl_keep", "x._tl_hash")
+    one = Window.partitionBy("_tl_id", "_tl_text").orderBy("_tl_text")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tl_keep")).distinct()
     rows = docs.select(F.col("doc_id").alias("_tl_id"), F.xxhash64("text").alias("_tl_text"), F.struct(*columns).alias("_tl_row"))
-    kept = rows.join(stays, F.col("_tl_id").eqNullSafe(F.col("_tl_keep")), "left_semi")
+    kept = rows.join(stays, F.col("_tl_id").eqNullSafe(F.col("_tl_keep")) & (F.col("_tl_text") == F.col("_tl_hash")), "left_semi")
     return kept.withColumn("_tl_n", F.row_number().over(one)).where("_tl_n = 1").select("_tl_row.*")
-
