@@ -231,6 +231,8 @@ class PlainModel:
         for (v, w), n in self.c.items():
             self.after[v][w] = n
         self.d2, self.d1 = self.discounts(self.c.values()), self.discounts(self.into.values())
+        self.rest = sum(self.d1[min(x, 3)] for x in self.into.values()) / len(self.c)
+        self.of = {v: (sum(own.values()), sum(self.d2[min(x, 3)] for x in own.values())) for v, own in self.after.items()}
 
     @staticmethod
     def discounts(counts):
@@ -241,16 +243,14 @@ class PlainModel:
 
     def unigram(self, w):
         n = self.into[w]
-        rest = sum(self.d1[min(x, 3)] for x in self.into.values()) / len(self.c)
-        return max(n - self.d1[min(n, 3)], 0) / len(self.c) + rest / (len(self.into) + 1)
+        return max(n - self.d1[min(n, 3)], 0) / len(self.c) + self.rest / (len(self.into) + 1)
 
     def p(self, v, w):
         own = self.after.get(v)
         if not own:
             return self.unigram(w)
-        n, total = own.get(w, 0), sum(own.values())
-        rest = sum(self.d2[min(x, 3)] for x in own.values()) / total
-        return max(n - self.d2[min(n, 3)], 0) / total + rest * self.unigram(w)
+        n, (total, rest) = own.get(w, 0), self.of[v]
+        return max(n - self.d2[min(n, 3)], 0) / total + rest / total * self.unigram(w)
 
 
 def test_language_model_equals_the_plain_one(spark, texts):

@@ -182,18 +182,21 @@ def digest(found: DataFrame) -> DataFrame:
 def brute_force(texts: list[str | None], items: list[tuple[object, str | None]], width: int = 10) -> list[tuple[int, int, int, str, bool]]:
     """The rows of `digest` by plain comparison, for tests on small inputs."""
     out = []
-    windows = []
+    windows: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
         found = item_words((text or "").encode())
         n = min(width, len(found))
-        windows += [("" if item is None else str(item), tuple(found[i : i + n])) for i in range(len(found) - n + 1) if n]
+        for i in range(len(found) - n + 1 if n else 0):
+            windows.setdefault(tuple(found[i : i + n]), set()).add("" if item is None else str(item))
+    lengths = {len(w) for w in windows}
     for text in texts:
         found = item_words((text or "").encode())
-        hit, own = set(), set()
-        for item, window in windows:
-            for i in range(len(found) - len(window) + 1):
-                if tuple(found[i : i + len(window)]) == window:
-                    hit |= set(range(i, i + len(window)))
-                    own.add(item)
+        hit: set[int] = set()
+        own: set[str] = set()
+        for n in lengths:
+            for i in range(len(found) - n + 1):
+                if (window := tuple(found[i : i + n])) in windows:
+                    hit |= set(range(i, i + n))
+                    own |= windows[window]
         out.append((len(found), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)))
     return out
