@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, checkpointed, use_checkpoint_dir
 
 #: Tokens that a task counts or scores at once, and bigrams that a shard should hold.
-BLOCK_TOKENS, SHARD_ROWS = 2_000_000, 800_000
+BLOCK_TOKENS, SHARD_ROWS = 1_000_000, 800_000
 #: Documents of which the frequent words, whose bigrams are dealt out to several shards, are estimated. Results don't depend on them.
 HOT_SAMPLE = 2000
 START, END = np.uint64(1), np.uint64(2)
