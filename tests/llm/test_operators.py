@@ -83,6 +83,13 @@ def test_mix_of_nasty_and_empty_tables(nasty, empty):
     assert kept.columns == nasty.columns and kept.where("text is null").count() == 0
 
 
+def test_sources_without_weight_are_not_taken(spark):
+    docs = spark.createDataFrame([(k, "ab"[k % 2], 10) for k in range(20)], "doc_id long, source string, size long")
+    weights = spark.createDataFrame([("a", 1.0)], "source string, weight double")
+    taken = {r["doc_id"]: (r["target"], r["taken"]) for r in mix.mix_sources(docs, weights).collect()}
+    assert all(taken[k] == ((200.0, 20) if k % 2 == 0 else (0.0, 0)) for k in taken)
+
+
 def test_mix_in_many_parts_is_the_same(spark, docs, monkeypatch):
     sized = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size"))
     whole = sorted(mix.mix_sources(sized, mix.code_point_weights(docs)).select("doc_id", "taken").collect())

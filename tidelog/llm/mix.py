@@ -87,7 +87,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, budget: float = 1.5, max_ep
     )
     if "text" not in docs.columns:  # narrow rows: keep them instead of reading the texts again
         queued = checkpointed(queued)
-    finish = lambda epoch: (F.col("_tl_upto") + epoch * F.col("source_size")) / F.col("weight")
+    finish = lambda epoch: (F.col("_tl_upto") + epoch * F.col("source_size")) / F.nullif("weight", F.lit(0.0))
     entries = (
         queued.where("weight > 0")
         .select("size", "_tl_key", "_tl_upto", "source_size", "weight", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"))
