@@ -421,6 +421,22 @@ def test_similar_sets_meet(spark, docs):
     assert np.mean([groups[a] == groups[b] for a, b in wanted.items()]) >= 0.95
 
 
+def threshold_cases():
+    """(id, text) in threes: 96 shingles; a copy with two words changed, at 0.81, and one with three, at 0.73 of the text and 0.61 of the other."""
+    copy = lambda k, changed: " ".join(f"w{k}x{i}" if i not in changed else f"new{k}x{i}x{len(changed)}" for i in range(100))
+    return [(10 * k + n, copy(k, c)) for k in range(150) for n, c in enumerate([(), (20, 50), (10, 40, 70)])]
+
+
+def test_only_sets_above_the_threshold_meet(spark):
+    rows = threshold_cases()
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(96)} for _, t in rows[:3]]
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= jaccard(0, 1) < 0.82 and 0.7 < jaccard(0, 2) < 0.8 and jaccard(1, 2) < 0.8
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([groups[10 * k + 1] == 10 * k for k in range(150)]) >= 0.98
+    assert all(groups[10 * k + 2] == 10 * k + 2 for k in range(150))
+
+
 # --- 10 decontamination ---------------------------------------------------------------------
 
 

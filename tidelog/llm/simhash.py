@@ -275,7 +275,7 @@ def lanes(hashes: np.ndarray) -> list[int]:
     return [fingerprint(mixed[:, k]) for k in range(len(LANES))]
 
 
-def bits_apart(similarity: float, bits: int, slack: float = 1.3) -> int:
+def bits_apart(similarity: float, bits: int, slack: float = 4.0) -> int:
     """Bits in which fingerprints of sets with that Jaccard similarity differ, plus `slack` standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
@@ -303,6 +303,75 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     return read.mapInArrow(of, f"doc_id {kind}, text_hash long, whole long, size long, anchors array<long>, " + ", ".join(f"{n} long" for n in names[5:]))
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows in tables of whole runs: of batches sorted by their first `keys` columns, only the last run is held back."""
+    left: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        last = int(np.flatnonzero(np.any([c != c[-1] for c in cells], 0))[-1]) + 1 if any((c != c[-1]).any() for c in cells) else 0
+        goes_on = left and all(left[-1].column(k)[0].as_py() == batch.column(k)[0].as_py() for k in range(keys))
+        if left and not goes_on:
+            yield pa.Table.from_batches(left)
+            left = []
+        if last:
+            yield pa.Table.from_batches([*left, batch.slice(0, last)])
+            left = []
+        left.append(batch.slice(last))
+    if left:
+        yield pa.Table.from_batches(left)
+
+
+def cuts(table: pa.Table, keys: int) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal values in the first `keys` columns."""
+    cells = [table.column(k).to_numpy() for k in range(keys)]
+    at = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cells], 0)) + 1
+    return list(zip([0, *at.tolist()], [*at.tolist(), table.num_rows], strict=True))
+
+
+def alike(hashes: np.ndarray, ends: np.ndarray, similarity: float, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set the first of its component, where sets of Jaccard similarity `similarity` or more are linked.
+
+    Set k is hashes[ends[k - 1] : ends[k]], without repeats. All that a set shares with the others is
+    counted at once over lists of the sets that have a hash. side: only sets of different sides are linked.
+    """
+    n, starts = len(ends), np.concatenate([[0], ends[:-1]])
+    sizes = ends - starts
+    unique, token = np.unique(hashes, return_inverse=True)
+    of = np.repeat(np.arange(n), sizes)[np.argsort(token, kind="stable")]
+    upto = np.cumsum(np.bincount(token, minlength=len(unique)))
+    label = np.arange(n)
+    for i in range(n):
+        open_ = (label != label[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9)
+        if side is not None:
+            open_ &= side != side[i]
+        if not open_.any():
+            continue
+        own = token[starts[i] : ends[i]]
+        low = np.where(own > 0, upto[own - 1], 0)
+        shared = np.bincount(np.concatenate([of[a:b] for a, b in zip(low.tolist(), upto[own].tolist(), strict=True)]), minlength=n)
+        near = open_ & (shared >= similarity * (sizes + sizes[i] - shared) - 1e-9)
+        if near.any():
+            roots = np.unique(np.append(label[near], label[i]))
+            label[np.isin(label, roots)] = roots[0]
+    return label
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(whole, hashes): the sorted shingle hashes of each text."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                found = [normal_words(t.as_buffer().to_pybytes()) for t in batch.column("text").slice(at, 500)]
+                whole = np.array([xxhash.xxh64_intdigest(b" ".join(f), SEED) for f in found], np.uint64)
+                sets = [np.unique(shingle_hashes(f, width)).view(np.int64) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["whole", "hashes"])
+
+    return texts.select("text").mapInArrow(of, "whole long, hashes array<long>")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, whole, component_id, group): groups of documents whose sets of `width`-word shingles are alike.
 
@@ -310,46 +379,60 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     fingerprints, 32 +- 4 bits apart, defeat a vantage-point tree. So documents are
     sharded by their smallest shingle hashes first, of which similar sets share some
     almost surely; in a shard, fingerprints of 256 bits are compared behind the
-    triangle bound, and sets whose sizes alone rule the similarity out are not linked. whole is the hash of a document's
-    words, group that of one member.
+    triangle bound, at a radius wide enough for all but one in ten thousand alike pairs. That only finds candidates:
+    the shingle sets of candidates meet again and are linked if their exact Jaccard similarity is `similarity` or more.
+    whole is the hash of a document's words, group that of one member.
     Equal documents count once. Documents without words form one group.
     """
+    spark = docs.sparkSession
     prints = [f"f{k}" for k in range(len(LANES))]
     rows = checkpointed(_signatures(docs, width))
-    points = rows.groupBy("whole").agg(*(F.first(c).alias(c) for c in ("size", "anchors", *prints)))
+    points = rows.groupBy("whole").agg(F.first(F.struct("doc_id", "text_hash")).alias("one"), *(F.first(c).alias(c) for c in ("size", "anchors", *prints)))
     radius = bits_apart(similarity, 64 * len(LANES))
-    meets = points.select("whole", "size", *prints, F.explode("anchors").alias("anchor"))
-    names = ["anchor", "whole", "size", *prints]
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = np.zeros((0, len(names)), np.int64)
-
-        def links(table: np.ndarray) -> pa.RecordBatch:
-            a, b = [], []
-            cuts = np.flatnonzero(np.diff(table[:, 0])) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(table)]])
-            for start, end in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                own = table[start:end]
-                own = own[np.argsort(own[:, 1], kind="stable")]
-                first = components(own[:, 3:].view(np.uint64), np.ones(len(own), bool), radius, own[:, 2], similarity)
+    shards = ["anchor"]
+    meets = points.select("whole", "one", "size", *prints, F.explode("anchors").alias("anchor"))
+    names = [*shards, "whole", "size", *prints]
+    keys = len(shards)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, keys):
+            for start, end in cuts(table, keys):
+                if end - start < 2:
+                    continue
+                own = table.slice(start, end - start)
+                whole, size = (own.column(n).to_numpy() for n in ("whole", "size"))
+                lane = np.stack([own.column(n).to_numpy() for n in prints], 1).view(np.uint64)
+                first = components(lane, np.ones(len(own), bool), radius, size, similarity)
+                stays = np.flatnonzero(np.bincount(first, minlength=len(own))[first] > 1)
+                if len(stays):
+                    got = own.take(pa.array(stays)).combine_chunks()
+                    cells = [got.column(n).combine_chunks() for n in (*shards, "whole", "doc_id", "text_hash")]
+                    yield pa.RecordBatch.from_arrays([*cells[:keys], pa.array(whole[first[stays]]), *cells[keys:]], [*shards, "near", "whole", "doc_id", "text_hash"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    parts = shuffle_partitions(spark)
+    dealt = meets.select(*names, "one.doc_id", "one.text_hash").repartition(parts, *shards).sortWithinPartitions(*shards)
+    met = checkpointed(dealt.mapInArrow(candidates, f"anchor long, near long, whole long, doc_id {kind}, text_hash long"))
+    # one row of docs for each candidate text
+    wanted = met.select(F.col("doc_id").alias("_tl_id"), F.col("text_hash").alias("_tl_hash")).distinct()
+    read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = read.join(wanted, F.col("doc_id").eqNullSafe(F.col("_tl_id")) & (F.col("text_hash") == F.col("_tl_hash")), "left_semi")
+    sets = _sets(texts, width).dropDuplicates(["whole"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, keys + 1):
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for start, end in cuts(table, keys + 1):
+                own = table.slice(start, end - start).combine_chunks()
+                whole, lists = own.column("whole").to_numpy(), own.column("hashes").combine_chunks()
+                first = alike(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy()), similarity)
                 rest = first != np.arange(len(own))
-                a.append(own[rest, 1])
-                b.append(own[first[rest], 1])
-            none = [np.zeros(0, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], ["a", "b"])
+                a.append(whole[rest])
+                b.append(whole[first[rest]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-        for batch in batches:
-            table = np.concatenate([left, np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], 1)])
-            if not len(table):
-                continue
-            last = int(np.searchsorted(table[:, 0], table[-1, 0]))  # the last shard may go on
-            left = table[last:]
-            if last:
-                yield links(table[:last])
-        if len(left):
-            yield links(left)
-
-    found = meets.select(*names).repartition(shuffle_partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(groups, "a long, b long")
+    again = met.select(*shards, "near", "whole").join(sets, "whole").select(*shards, "near", "whole", "hashes")
+    found = again.repartition(parts, *shards, "near").sortWithinPartitions(*shards, "near").mapInArrow(links, "a long, b long")
     return with_components(rows.select("doc_id", "text_hash", "whole"), "whole", found)
 
 
