@@ -437,6 +437,22 @@ def test_only_sets_above_the_threshold_meet(spark):
     assert all(groups[10 * k + 2] == 10 * k + 2 for k in range(150))
 
 
+def test_hot_shards_meet_in_tiles(spark, monkeypatch):
+    whole = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(threshold_cases(), "doc_id long, text string")).collect()}
+    monkeypatch.setattr(simhash, "TILE_ROWS", 1)
+    monkeypatch.setattr(simhash, "TILE_HASHES", 100)
+    assert whole == {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(threshold_cases(), "doc_id long, text string")).collect()}
+    rows = spark.range(500).select(F.lit(7).alias("anchor"), F.xxhash64("id").alias("whole"))
+    tiles = simhash.tiled(rows, ["anchor"], F.lit(1), 100).collect()
+    held = Counter((r["tile_a"], r["tile_b"]) for r in tiles)
+    assert len(held) == 55 and max(held.values()) <= 150
+    met = Counter()
+    for tile in held:
+        own = [r for r in tiles if (r["tile_a"], r["tile_b"]) == tile]
+        met.update(frozenset((x["whole"], y["whole"])) for i, x in enumerate(own) for y in own[:i] if tile[0] == tile[1] or x["side"] != y["side"])
+    assert len(met) == 500 * 499 // 2 and set(met.values()) == {1}
+
+
 # --- 10 decontamination ---------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, checkpointed, shuffle_partitions
@@ -266,6 +266,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 LANES = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Smallest shingle hashes by which documents meet.
 ANCHORS = 4
+#: Texts, and shingle hashes of candidates, that are compared in one task at once at most, as expected of a deal by hash.
+TILE_ROWS, TILE_HASHES = 1 << 15, 1 << 21
 
 
 def lanes(hashes: np.ndarray) -> list[int]:
@@ -358,6 +360,21 @@ def alike(hashes: np.ndarray, ends: np.ndarray, similarity: float, side: np.ndar
     return label
 
 
+def tiled(rows: DataFrame, keys: list[str], weight: Column, most: int) -> DataFrame:
+    """rows with tile_a, tile_b and side: groups heavier than `most` are dealt into parts by `whole`, and each two parts meet in a tile.
+
+    A tile (a, b) holds the rows of two parts, told apart by side, or those of one part if a = b; a lighter group is
+    one tile. So no task holds more than `most`, and each pair of rows of a group is in one tile as a pair to compare.
+    """
+    # few rows: each stands for more than `most` of the weight
+    heavy = rows.groupBy(*keys).agg(F.sum(weight).alias("_tl_weight")).where(F.col("_tl_weight") > most).select(*keys, F.ceil(2 * F.col("_tl_weight") / most).alias("_tl_parts"))
+    parts = F.coalesce("_tl_parts", F.lit(1).cast("long"))
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_tl_part", F.pmod("whole", parts))
+    met = dealt.withColumn("_tl_other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    own = F.least("_tl_part", "_tl_other").alias("tile_a"), F.greatest("_tl_part", "_tl_other").alias("tile_b")
+    return met.select(*(F.col(f"`{c}`") for c in rows.columns), *own, (F.col("_tl_part") >= F.col("_tl_other")).alias("side"))
+
+
 def _sets(texts: DataFrame, width: int) -> DataFrame:
     """(whole, hashes): the sorted shingle hashes of each text."""
 
@@ -381,6 +398,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     almost surely; in a shard, fingerprints of 256 bits are compared behind the
     triangle bound, at a radius wide enough for all but one in ten thousand alike pairs. That only finds candidates:
     the shingle sets of candidates meet again and are linked if their exact Jaccard similarity is `similarity` or more.
+    Large shards are dealt into tiles both times, so that no task holds one whole.
     whole is the hash of a document's words, group that of one member.
     Equal documents count once. Documents without words form one group.
     """
@@ -389,9 +407,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     rows = checkpointed(_signatures(docs, width))
     points = rows.groupBy("whole").agg(F.first(F.struct("doc_id", "text_hash")).alias("one"), *(F.first(c).alias(c) for c in ("size", "anchors", *prints)))
     radius = bits_apart(similarity, 64 * len(LANES))
-    shards = ["anchor"]
+    shards = ["anchor", "tile_a", "tile_b"]
     meets = points.select("whole", "one", "size", *prints, F.explode("anchors").alias("anchor"))
-    names = [*shards, "whole", "size", *prints]
     keys = len(shards)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,17 +419,19 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
                 own = table.slice(start, end - start)
                 whole, size = (own.column(n).to_numpy() for n in ("whole", "size"))
                 lane = np.stack([own.column(n).to_numpy() for n in prints], 1).view(np.uint64)
-                first = components(lane, np.ones(len(own), bool), radius, size, similarity)
+                home = own.column("side").to_numpy()  # of one part all
+                first = components(lane, home, radius, size, similarity)
                 stays = np.flatnonzero(np.bincount(first, minlength=len(own))[first] > 1)
                 if len(stays):
                     got = own.take(pa.array(stays)).combine_chunks()
-                    cells = [got.column(n).combine_chunks() for n in (*shards, "whole", "doc_id", "text_hash")]
-                    yield pa.RecordBatch.from_arrays([*cells[:keys], pa.array(whole[first[stays]]), *cells[keys:]], [*shards, "near", "whole", "doc_id", "text_hash"])
+                    cells = [got.column(n).combine_chunks() for n in (*shards, "whole", "size", "doc_id", "text_hash")]
+                    yield pa.RecordBatch.from_arrays([*cells[:keys], pa.array(whole[first[stays]]), *cells[keys:]], [*shards, "near", "whole", "size", "doc_id", "text_hash"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = shuffle_partitions(spark)
-    dealt = meets.select(*names, "one.doc_id", "one.text_hash").repartition(parts, *shards).sortWithinPartitions(*shards)
-    met = checkpointed(dealt.mapInArrow(candidates, f"anchor long, near long, whole long, doc_id {kind}, text_hash long"))
+    tiles = tiled(meets, ["anchor"], F.lit(1), TILE_ROWS)
+    dealt = tiles.select(*shards, "side", "whole", "size", *prints, "one.doc_id", "one.text_hash").repartition(parts, *shards).sortWithinPartitions(*shards)
+    met = checkpointed(dealt.mapInArrow(candidates, f"anchor long, tile_a long, tile_b long, near long, whole long, size long, doc_id {kind}, text_hash long"))
     # one row of docs for each candidate text
     wanted = met.select(F.col("doc_id").alias("_tl_id"), F.col("text_hash").alias("_tl_hash")).distinct()
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -420,19 +439,23 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     sets = _sets(texts, width).dropDuplicates(["whole"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, keys + 1):
+        for table in runs(batches, len(groups)):
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for start, end in cuts(table, keys + 1):
+            for start, end in cuts(table, len(groups)):
                 own = table.slice(start, end - start).combine_chunks()
                 whole, lists = own.column("whole").to_numpy(), own.column("hashes").combine_chunks()
-                first = alike(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy()), similarity)
+                side = own.column("side").to_numpy() if own.column("tile_a")[0] != own.column("tile_b")[0] else None
+                first = alike(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy()), similarity, side)
                 rest = first != np.arange(len(own))
                 a.append(whole[rest])
                 b.append(whole[first[rest]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    again = met.select(*shards, "near", "whole").join(sets, "whole").select(*shards, "near", "whole", "hashes")
-    found = again.repartition(parts, *shards, "near").sortWithinPartitions(*shards, "near").mapInArrow(links, "a long, b long")
+    # candidates meet in tiles of their own, whose weight is that of their sets
+    shard = met.select(F.xxhash64(*shards, "near").alias("shard"), "whole", "size").distinct()
+    groups = ["shard", "tile_a", "tile_b"]
+    again = tiled(shard, ["shard"], F.col("size"), TILE_HASHES).join(sets, "whole").select(*groups, "side", "whole", "hashes")
+    found = again.repartition(parts, *groups).sortWithinPartitions(*groups).mapInArrow(links, "a long, b long")
     return with_components(rows.select("doc_id", "text_hash", "whole"), "whole", found)
 
 
