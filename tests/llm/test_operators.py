@@ -331,6 +331,17 @@ def test_weak_parts_count_only_together(spark):
     assert "linked_secret" not in secrets.find_secrets(spark.createDataFrame([(1, far)], "doc_id long, text string")).first()["spans"]
 
 
+def test_short_and_distant_parts_are_linked():
+    def linked(text):
+        return [(k, text[s:e]) for k, s, e in sorted(secrets.linked_spans(text, secrets.base_spans(text)), key=lambda x: x[1])]
+
+    parts = [("linked_access", "user = admin"), ("linked_secret", "password = hunter22"), ("linked_endpoint", "host = db.example.com")]
+    assert linked("user = admin\npassword = hunter22\nhost = db.example.com") == parts
+    assert linked("user = admin\n# " + "long " * 200 + "\npassword = hunter22\n# " + "long " * 200 + "\nhost = db.example.com") == parts
+    assert linked("password = hunter22\nhost = db.example.com") == [] and linked("user = admin\n\npassword = hunter22") == []
+    assert linked("user = admin\nZx81kQpL0vRt55Wm\n") == [("linked_access", "user = admin"), ("linked_secret", "Zx81kQpL0vRt55Wm")]
+
+
 def test_secrets_of_nasty_and_empty_tables(nasty, empty):
     assert secrets.find_secrets(nasty).count() == len(NASTY) and secrets.find_secrets(empty).count() == 0
 

@@ -21,12 +21,12 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 #: Parts that are too weak alone: identifiers of an account, secrets without a name, endpoints.
 WEAK_ACCESS = re.compile(r"""\b(?:(?:client|access|account|app|tenant)[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})|\b(?:AKIA|ASIA|AIza)[A-Za-z0-9_-]{6,}""", re.IGNORECASE | re.ASCII)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]*://[^\s"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?""", re.IGNORECASE | re.ASCII)
 #: A text without any of these has no part of a credential besides a bare run.
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "api")
 _ACCESS_HINTS = ("akia", "asia", "aiza", "id", "user", "login")
-#: Code points between parts of one credential at most, and entropy in bits a character from which a bare run may be a secret.
+#: Code points between a bare run and an identifier at most (named parts are linked in their whole scope), and entropy in bits a character from which a bare run may be a secret.
 REACH, ENTROPY = 400, 3.5
 
 KINDS = ("assign", "access", "hex", "linked_access", "linked_secret", "linked_endpoint")
@@ -71,10 +71,20 @@ def _near(spans: list[Span], others: list[Span], scope_of) -> list[Span]:
     return out
 
 
+def _beside(spans: list[Span], others: list[Span], scope_of) -> list[Span]:
+    """The spans that have one of the others, not overlapping, anywhere in their scope."""
+    first_end: dict[int, int] = {}
+    last_start: dict[int, int] = {}
+    for _, a, b in others:
+        k = scope_of(a)
+        first_end[k], last_start[k] = min(b, first_end.get(k, b)), max(a, last_start.get(k, a))
+    return [x for x in spans if (k := scope_of(x[1])) in first_end and (first_end[k] <= x[1] or last_start[k] >= x[2])]
+
+
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """Weak parts, reported only where complementary ones are in the same scope and within reach.
+    """Weak parts, reported only where complementary ones are in the same scope, for bare secrets also within reach.
 
-    A scope is a block of lines between empty ones. A bare secret counts next to an
+    A scope is a block of lines between empty ones. A bare secret, or a named one too short to count alone, counts next to an
     account identifier; an identifier next to a bare or a named secret; an endpoint next to both.
     """
     lower = text.lower()
@@ -83,22 +93,24 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     strong = sorted((s for s in base if s[0] == "access"), key=lambda s: s[1])
     if not access and not strong:
         return []
-    taken = sorted((s, e) for _, s, e in base)
+    short = [("linked_secret", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) < ASSIGN_LEAST] if any(h in lower for h in _ASSIGN_HINTS) else []
+    taken = sorted((s, e) for _, s, e in [*base, *short])
     ends_so_far = list(itertools.accumulate((e for _, e in taken), max))
     free = lambda s, e: (i := bisect.bisect_left(taken, (e,))) == 0 or ends_so_far[i - 1] <= s
     secrets = [("linked_secret", m.start(), m.end()) for m in WEAK_SECRET.finditer(text) if free(m.start(), m.end()) and _is_secret(m[0])]
-    if not secrets and not named:
+    if not secrets and not named and not short:
         return []
     breaks = [m.start() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
     scope_of = lambda at: bisect.bisect_left(breaks, at)
     both = lambda *lists: sorted((s for x in lists for s in x), key=lambda s: s[1])
     weak_access = [s for s in access if free(s[1], s[2])]
-    access_near = _near(weak_access, both(secrets, named), scope_of)
-    secret_near = _near(secrets, both(weak_access, strong), scope_of)
+    access_near = sorted({*_near(weak_access, secrets, scope_of), *_beside(weak_access, both(named, short), scope_of)}, key=lambda s: s[1])
+    all_ids = both(weak_access, strong)
+    secret_near = both(_near(secrets, all_ids, scope_of), _beside(short, all_ids, scope_of))
     ends = []
     if (all_access := both(access_near, strong)) and (all_secrets := both(secret_near, named)):
         points = [("linked_endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-        ends = _near(_near([p for p in points if free(p[1], p[2])], all_access, scope_of), all_secrets, scope_of)
+        ends = _beside(_beside([p for p in points if free(p[1], p[2])], all_access, scope_of), all_secrets, scope_of)
     return [*access_near, *secret_near, *ends]
 
 
