@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, checkpointed, shuffle_partitions
 
 SEED = 42
-#: Fingerprints that one leaf of the tree should be home to, and those the tree is fitted on.
+#: Fingerprints that one leaf of the tree should be home to, and those its upper part is fitted on.
 LEAF_ROWS, SAMPLE = 8192, 1 << 16
+#: Sampled fingerprints behind a leaf, and leaves at most: the tree is broadcast, at 19 bytes a node.
+LEAF_SAMPLE, MOST_LEAVES = 16, 1 << 21
+#: Entries of a leaf that one task compares at most; a fuller leaf is dealt into tiles.
+HOME_ROWS, GUEST_ROWS = 1 << 14, 1 << 16
 #: Vantage points tried at each node.
 TRIED = 24
 #: Rows compared at once with as many others.
@@ -71,7 +75,10 @@ def distances(points: np.ndarray, to: np.ndarray | np.uint64) -> np.ndarray:
 
 
 class VantageTree:
-    """Nodes (vantage point, radius, inner child, outer child); a child below 0 is the leaf -1 - child."""
+    """Nodes (vantage point, radius, inner child, outer child); a child below 0 is the leaf -1 - child.
+
+    Tasks get it as arrays(), which need no class of this package where they are unpacked.
+    """
 
     def __init__(self, sample: np.ndarray, leaves: int, radius: int, seed: int = 1):
         self.points: list[int] = []
@@ -109,33 +116,67 @@ class VantageTree:
         self.children[node][1] = self._grow(sample[~inside], most, rng)
         return node
 
+    def arrays(self) -> tuple:
+        """(vantage points, radii, children, root, radius)."""
+        return np.array(self.points, np.uint64), np.array(self.radii, np.int16), np.array(self.children, np.int64).reshape(-1, 2), self.root, self.radius
+
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, home): each point's home leaf, and the leaves that hold points within the radius of it.
-
-        A point at distance d of the vantage point can be linked to one on the other
-        side of the sphere only if d is within the radius of mu (triangle inequality).
-        Of two points on either side, the inner one visits the outer one's leaf.
-        """
-        rows, leaves, home = [], [], []
-        todo = [(self.root, np.arange(len(points)), np.ones(len(points), bool))]
-        while todo:
-            node, row, own = todo.pop()
-            if not len(row):
-                continue
-            if node < 0:
-                rows.append(row)
-                leaves.append(np.full(len(row), -1 - node, np.int32))
-                home.append(own)
-                continue
-            d, mu, r = distances(points[row], np.uint64(self.points[node])), self.radii[node], self.radius
-            inner, outer = d <= mu, d > mu
-            left = inner | (~own & (d <= mu + r))
-            right = outer | (d > mu - r)
-            todo.append((self.children[node][0], row[left], own[left]))
-            todo.append((self.children[node][1], row[right], own[right] & outer[right]))
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
-        return np.concatenate(rows), np.concatenate(leaves), np.concatenate(home)
+        return route(self.arrays(), points)
+
+
+def route(tree: tuple, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home): each point's home leaf, and the leaves that hold points within the radius of it.
+
+    A point at distance d of the vantage point can be linked to one on the other
+    side of the sphere only if d is within the radius of mu (triangle inequality).
+    Of two points on either side, the inner one visits the outer one's leaf.
+    """
+    vantage, radii, children, root, r = tree
+    rows, leaves, home = [], [], []
+    todo = [(root, np.arange(len(points)), np.ones(len(points), bool))]
+    while todo:
+        node, row, own = todo.pop()
+        if not len(row):
+            continue
+        if node < 0:
+            rows.append(row)
+            leaves.append(np.full(len(row), -1 - node, np.int64))
+            home.append(own)
+            continue
+        d, mu = distances(points[row], vantage[node]), int(radii[node])
+        inner, outer = d <= mu, d > mu
+        left = inner | (~own & (d <= mu + r))
+        right = outer | (d > mu - r)
+        todo.append((int(children[node][0]), row[left], own[left]))
+        todo.append((int(children[node][1]), row[right], own[right] & outer[right]))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate(rows), np.concatenate(leaves), np.concatenate(home)
+
+
+def grafted(tree: tuple, below: dict[int, tuple]) -> tuple:
+    """tree with trees in place of some of its leaves, all leaves numbered anew from 0."""
+    parts, at, offset = [tree], {}, len(tree[0])
+    for leaf, sub in below.items():
+        at[leaf] = offset if sub[3] >= 0 else None  # a tree without a node is a leaf still
+        offset += len(sub[0])
+        parts.append(sub)
+    children, start = [], 0
+    for k, part in enumerate(parts):
+        own = part[2].copy()
+        inside = own >= 0
+        own[inside] += start
+        if not k:
+            for i, j in zip(*np.nonzero(~inside), strict=True):
+                if at.get(int(-1 - own[i, j])) is not None:
+                    own[i, j] = at[int(-1 - own[i, j])]
+        children.append(own)
+        start += len(part[0])
+    joined = np.concatenate(children)
+    leaf = joined < 0
+    joined[leaf] = -1 - np.arange(int(leaf.sum()))
+    root = tree[3] if tree[3] >= 0 else at.get(-1 - tree[3])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), joined, -1 if root is None else root, tree[4]
 
 
 def components(points: np.ndarray, home: np.ndarray, radius: int, sizes: np.ndarray | None = None, ratio: float = 0.0) -> np.ndarray:
@@ -178,27 +219,68 @@ def components(points: np.ndarray, home: np.ndarray, radius: int, sizes: np.ndar
 # --- links and components in Spark ----------------------------------------------------------
 
 
-def leaf_links(points: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def _arrow_columns(df: DataFrame, of, schema: str, step: int = 2000) -> DataFrame:
+    """of(fingerprints) over the column fp, in pieces; of gives the columns of schema as arrays."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").to_numpy(zero_copy_only=False)
+            for at in range(0, len(fps), step):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in of(fps[at : at + step])], names)
+
+    return df.select("fp").mapInArrow(run, schema)
+
+
+def fitted_tree(points: DataFrame, count: int, radius: int, leaf_rows: int) -> tuple:
+    """A tree for `count` fingerprints fp, as arrays, with leaves for about leaf_rows each.
+
+    Its upper part is fitted on about SAMPLE of them, chosen by hash, which come to the
+    driver. If that part has too few leaves, each of them gets a tree of its own, fitted in a
+    task on about LEAF_SAMPLE fingerprints a leaf; only nodes come to the driver, MOST_LEAVES at most.
+    """
+    leaves = min(MOST_LEAVES, math.ceil(count / leaf_rows))
+    first = max(1, min(leaves, SAMPLE // LEAF_SAMPLE))
+    scale = 1 << 20
+    chosen = lambda n: points.where(F.pmod(F.xxhash64("fp"), F.lit(scale)) < min(scale, math.ceil(scale * n / max(1, count)))).select("fp")
+    sample = np.array([r["fp"] for r in chosen(SAMPLE).collect()], np.int64).view(np.uint64)
+    tree = VantageTree(np.sort(sample), first, radius).arrays()
+    if leaves <= first:
+        return tree
+    shared, each = points.sparkSession.sparkContext.broadcast(tree), math.ceil(leaves / first)
+
+    def homes(fps: np.ndarray) -> tuple:
+        row, leaf, home = route(shared.value, fps.view(np.uint64))
+        return leaf[home], fps[row[home]]
+
+    def grow(table: pa.Table) -> pa.Table:
+        vantage, radii, children, root, _ = VantageTree(np.sort(table.column("fp").to_numpy().view(np.uint64)), each, radius).arrays()
+        one = lambda x: pa.array([x], pa.list_(pa.int64()))
+        return pa.table({"leaf": table.column("leaf").slice(0, 1), "vantage": one(vantage.view(np.int64)), "radii": one(radii.astype(np.int64)), "children": one(children.ravel()), "root": pa.array([root], pa.int64())})
+
+    grown = _arrow_columns(chosen(LEAF_SAMPLE * leaves), homes, "leaf long, fp long").groupBy("leaf").applyInArrow(grow, "leaf long, vantage array<long>, radii array<long>, children array<long>, root long")
+    below = {r["leaf"]: (np.array(r["vantage"], np.int64).view(np.uint64), np.array(r["radii"], np.int16), np.array(r["children"], np.int64).reshape(-1, 2), r["root"], radius) for r in grown.collect()}
+    return grafted(tree, below)
+
+
+def leaf_links(points: DataFrame, radius: int, leaf_rows: int | None = None) -> DataFrame:
     """(a, b): links of distinct fingerprints fp that join what is within `radius` bits of each other.
 
     In each leaf every fingerprint is linked to one of its component there; all links
-    follow from these. The tree is fitted on a sample of about SAMPLE fingerprints at most,
-    chosen by hash; every fingerprint is routed and compared.
+    follow from these. The tree is fitted on samples; every fingerprint is routed and compared. A leaf that
+    holds more than a task should, such as a ball of close fingerprints that no sphere divides, is dealt into
+    tiles: each part of its homes meets each part of all its entries.
     """
-    spark = points.sparkSession
-    count = points.count()
-    scale = 1 << 20
-    keep = min(scale, math.ceil(scale * SAMPLE / max(1, count)))
-    sample = np.array([r["fp"] for r in points.where(F.pmod(F.xxhash64("fp"), F.lit(scale)) < keep).select("fp").collect()], np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(VantageTree(np.sort(sample), min(SAMPLE // 16, math.ceil(count / leaf_rows)), radius))
+    tree = points.sparkSession.sparkContext.broadcast(fitted_tree(points, points.count(), radius, leaf_rows or LEAF_ROWS))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), 2000):
-                part = fps[at : at + 2000]
-                row, leaf, home = tree.value.route(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(part[row]), pa.array(home)], ["leaf", "fp", "home"])
+    def entries(fps: np.ndarray) -> tuple:
+        row, leaf, home = route(tree.value, fps.view(np.uint64))
+        return leaf, fps[row], home
+
+    def weights(fps: np.ndarray) -> tuple:
+        _, leaf, home = route(tree.value, fps.view(np.uint64))
+        own, at, n = np.unique(leaf, return_inverse=True, return_counts=True)
+        return own, n, np.bincount(at, home, len(own)).astype(np.int64)
 
     def link(table: pa.Table) -> pa.Table:
         fps = table.column("fp").to_numpy()
@@ -209,8 +291,19 @@ def leaf_links(points: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -> Da
         rest = first != np.arange(len(fps))
         return pa.table({"a": fps[rest], "b": fps[first[rest]]})
 
-    routed = points.select("fp").mapInArrow(route, "leaf int, fp long, home boolean")
-    return routed.groupBy("leaf").applyInArrow(link, "a long, b long")
+    held = _arrow_columns(points, weights, "leaf long, n long, homes long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("homes").alias("homes"))
+    # a row a leaf at most, of which there are MOST_LEAVES
+    full = held.where((F.col("homes") > HOME_ROWS) | (F.col("n") > GUEST_ROWS)).select("leaf", F.ceil(F.col("homes") / HOME_ROWS).alias("_tl_rows"), F.ceil(F.col("n") / GUEST_ROWS).alias("_tl_columns"))
+    dealt = _arrow_columns(points, entries, "leaf long, fp long, home boolean").join(F.broadcast(full), "leaf", "left")
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.greatest(F.col(c), F.lit(1).cast("long")) - 1)
+    part = lambda c, seed: F.pmod(F.xxhash64("fp", F.lit(seed)), F.greatest(F.col(c), F.lit(1).cast("long")))
+    tile = lambda a, b, home: F.struct(a.alias("tile_a"), b.alias("tile_b"), home.alias("home"))
+    as_home = F.when(F.col("home"), F.transform(upto("_tl_columns"), lambda j: tile(part("_tl_rows", 1), j, F.lit(True))))
+    as_guest = F.transform(upto("_tl_rows"), lambda i: tile(i, part("_tl_columns", 2), F.lit(False)))
+    alone = F.array(tile(F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("home")))
+    tiles = F.when(F.col("_tl_rows").isNull(), alone).otherwise(F.concat(F.coalesce(as_home, F.slice(as_guest, 1, 0)), as_guest))
+    met = dealt.select("leaf", "fp", F.explode(tiles).alias("t")).select("leaf", "fp", "t.*")
+    return met.groupBy("leaf", "tile_a", "tile_b").applyInArrow(link, "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:
