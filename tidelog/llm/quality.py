@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +14,13 @@ from .common import WORD, checkpointed, words
 #: Words of a window that counts as repeated when the text has it twice.
 WINDOW = 5
 #: Rounds of expectation-maximisation at most, and the change of a probability that ends it.
-ROUNDS, TOLERANCE = 60, 1e-6
-#: Where it starts: share of good documents, and how rules vote (good, bad) on good and on bad documents.
-PRIOR, START = 0.85, {True: (0.5, 0.0005), False: (0.3, 0.25)}
-#: A rule that calls a document bad is wrong on this share of good ones at most. Rules that catch
-#: different faults seldom agree, so without this bound the data can't tell a precise rule from noise.
-MOST_WRONG = 0.002
+ROUNDS, TOLERANCE = 1000, 1e-6
+#: Where it starts: share of good documents, and how any rule votes (good, bad) on good and on bad documents.
+PRIOR, START = 0.85, {True: (0.6, 0.05), False: (0.3, 0.3)}
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
+#: A word of small letters, or of a script without small ones, that may end in one mark.
+PLAIN = r"(?<![^\x20\x09-\x0D])[\p{Ll}\p{Lo}\p{M}]+[.,;:!?]?(?![^\x20\x09-\x0D])"
 
 
 def _chars(text: Column, drop: str) -> Column:
@@ -62,6 +62,9 @@ def add_features(docs: DataFrame) -> DataFrame:
             "_tl_stutter": F.size(F.filter(h, lambda x, i: F.coalesce(F.get(h, i - 1) == x, F.lit(False)))).cast("long"),
             "_tl_upper": _chars(text, r"[^\p{Lu}]+"),
             "_tl_shouts": _chars(text, r"[^!?]+"),
+            "_tl_letters": _chars(text, r"[^\p{L}\p{M}]+"),
+            "_tl_plain": F.regexp_count(text, F.lit(PLAIN)).cast("long"),
+            "_tl_distinct": F.size(F.array_distinct(h)).cast("long"),
             "_tl_stops": F.regexp_count(text, F.lit(r"[.!?](?:[\x20\x09-\x0D]|$)")).cast("long"),
         }
     ).drop("_tl_words", "_tl_lines", "_tl_hashes", "_tl_windows")
@@ -72,22 +75,28 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """The rules. Each says good, bad or nothing of a document."""
+    """The rules. Each says good, bad or nothing of a document.
+
+    Most faults are seen by several rules: symbols by symbols, letters, plain and word_length, repetition
+    by repeats, stutter, distinct and lines, shouting by shouting and plain. So their votes
+    agree often enough for the accuracies to be estimated, and no vote decides alone.
+    """
     n = F.greatest(F.col("n_words"), F.lit(1))
     share = lambda c: F.col(c) / n
     mean = F.col("word_chars") / n
-    upper = F.col("_tl_upper") / F.greatest(F.col("word_chars"), F.lit(1))
-    never = F.lit(False)
+    of_chars = lambda c: F.col(c) / F.greatest(F.col("word_chars"), F.lit(1))
     return {
         "length": _vote(F.col("n_words") < 10, F.col("n_words") >= 40),
-        "symbols": _vote(share("n_symbols") > 0.1, never),
-        "repeats": _vote(share("n_repeat_words") > 0.2, never),
-        "stutter": _vote(share("_tl_stutter") > 0.2, never),
-        "lines": _vote((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * F.col("_tl_n_lines")), never),
-        "word_length": _vote((mean < 2.5) | (mean > 12), never),
-        "capitals": _vote(upper > 0.4, never),
-        "shouting": _vote(share("_tl_shouts") > 0.25, never),
-        "sentences": _vote(never, (share("_tl_stops") > 0.01) & (share("_tl_stops") < 0.5)),
+        "symbols": _vote(share("n_symbols") > 0.1, share("n_symbols") <= 0.02),
+        "letters": _vote(of_chars("_tl_letters") < 0.8, of_chars("_tl_letters") >= 0.9),
+        "plain": _vote(share("_tl_plain") < 0.45, share("_tl_plain") >= 0.6),
+        "word_length": _vote((mean < 4.3) | (mean > 7), (mean >= 4.6) & (mean < 6.5)),
+        "sentences": _vote((share("_tl_stops") < 0.015) | (share("_tl_stops") > 0.5), (share("_tl_stops") > 0.04) & (share("_tl_stops") < 0.3)),
+        "repeats": _vote(share("n_repeat_words") > 0.2, share("n_repeat_words") <= 0.05),
+        "stutter": _vote(share("_tl_stutter") > 0.1, share("_tl_stutter") <= 0.03),
+        "distinct": _vote(share("_tl_distinct") < 0.35, share("_tl_distinct") >= 0.5),
+        "lines": _vote((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * F.col("_tl_n_lines")), F.col("n_dup_lines") == 0),
+        "shouting": _vote((of_chars("_tl_upper") > 0.3) | (share("_tl_shouts") > 0.2), (of_chars("_tl_upper") < 0.1) & (share("_tl_shouts") <= 0.05)),
     }
 
 
@@ -125,42 +134,35 @@ def vote_codes(rules: Iterable[str], prefix: str = "_tl_vote_") -> Column:
 
 
 def fit(patterns: DataFrame, rules: list[str], prefix: str = "_tl_vote_") -> LabelModel:
-    """The label model of all documents. patterns: one row for each combination of votes, with its count n.
+    """The label model of all documents. patterns: combinations of votes with a count n; equal ones are added up.
 
-    There are 3 to the power of the rules' number of combinations at most, whatever the
-    number of documents. Each round is one aggregation over them, of which the sums, one
-    row a vote, come to the driver.
+    Spark counts the combinations, of which there are 3 to the power of the rules' number at
+    most (177,147 of eleven), whatever the number of documents; that table comes to the driver
+    once, and the rounds run there until no probability changes by TOLERANCE.
     """
-    start = {y: {GOOD: g, BAD: b, ABSTAIN: 1 - g - b} for y, (g, b) in START.items()}
-    model = LabelModel(PRIOR, {r: start for r in rules})
-    coded = patterns.select("n", vote_codes(rules, prefix).alias("codes"))
-    for _ in range(ROUNDS):
-        voted = coded.select("n", model.probability(F.col("codes")).alias("p"), F.explode("codes").alias("code"))
-        sums = {r["code"]: (r["good"], r["n"]) for r in voted.groupBy("code").agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("n")).collect()}
-        if not sums:
-            break
-        good, every = sums[3 * len(rules) + 1]
-        count = {True: good, False: every - good}
-        p = {}
-        for i, r in enumerate(rules):
-            own = {v: sums.get(3 * i + 2 + v, (0.0, 0)) for v in (GOOD, BAD)}
-            seen = {v: {True: own[v][0], False: own[v][1] - own[v][0]} for v in (GOOD, BAD)}
-            p[r] = {}
-            for y in (True, False):
-                # one document's worth of votes, spread as at the start, keeps every probability above 0
-                q = {v: (max(seen[v][y], 0.0) + start[y][v]) / (count[y] + 1) for v in (GOOD, BAD)}
-                if y and q[BAD] > MOST_WRONG:
-                    q = {GOOD: q[GOOD] * (1 - MOST_WRONG) / (1 - q[BAD]), BAD: MOST_WRONG}
-                p[r][y] = q | {ABSTAIN: max(1 - q[GOOD] - q[BAD], start[y][ABSTAIN] / (count[y] + 1))}
-        later = LabelModel(min(max((count[True] + PRIOR) / (every + 1), 0.5), 0.99), p)
-        change = max([abs(later.prior - model.prior), *(abs(p[r][y][v] - model.p[r][y][v]) for r in rules for y in (True, False) for v in (GOOD, BAD))])
-        model = later
+    code = sum(((F.col(prefix + r) + 1) * 3**i for i, r in enumerate(rules)), F.lit(0))
+    counted = patterns.groupBy(code.cast("long").alias("code")).agg(F.sum("n").alias("n")).orderBy("code").collect()
+    n = np.array([r["n"] for r in counted], float)
+    digits = np.array([r["code"] for r in counted], np.int64)[:, None] // 3 ** np.arange(len(rules)) % 3
+    # one column for each rule and vote
+    voted = (digits[:, :, None] == np.arange(3)).reshape(len(n), 3 * len(rules)).astype(float)
+    start = np.array([[b, 1 - g - b, g] for g, b in (START[True], START[False])])
+    prior, p = PRIOR, np.repeat(start[:, None], len(rules), 1)
+    for _ in range(ROUNDS if len(n) else 0):
+        odds = voted @ np.log(p[0] / p[1]).ravel() + math.log(prior / (1 - prior))
+        good = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+        weight = np.stack([n * good, n * (1 - good)])
+        # one document's worth of votes, spread as at the start, keeps every probability above 0
+        later = ((weight @ voted).reshape(2, len(rules), 3) + start[:, None]) / (weight.sum(1)[:, None, None] + 1)
+        share = min(max((weight[0].sum() + PRIOR) / (n.sum() + 1), 0.5), 0.99)
+        change = max(abs(share - prior), float(np.abs(later - p).max()))
+        prior, p = share, later
         if change < TOLERANCE:
             break
-    return model
+    return LabelModel(prior, {r: {y: dict(zip((BAD, ABSTAIN, GOOD), p[k, i].tolist(), strict=True)) for k, y in enumerate((True, False))} for i, r in enumerate(rules)})
 
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_tl_n_lines", "_tl_stutter", "_tl_upper", "_tl_shouts", "_tl_stops")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_tl_n_lines", "_tl_stutter", "_tl_upper", "_tl_shouts", "_tl_stops", "_tl_letters", "_tl_plain", "_tl_distinct")
 
 
 def _with_votes(docs: DataFrame) -> DataFrame:
@@ -175,29 +177,31 @@ def _with_votes(docs: DataFrame) -> DataFrame:
     return counted.withColumns({f"_tl_vote_{r}": v for r, v in votes().items()})
 
 
-def _patterns(voted: DataFrame) -> DataFrame:
-    """The votes' combinations: few rows whatever the input, so one partition holds them for the rounds."""
-    return checkpointed(voted.groupBy(*(f"_tl_vote_{r}" for r in votes())).agg(F.count(F.lit(1)).alias("n")).repartition(1))
-
-
 def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row a document: doc_id, the base counts, base_failed, probability (of being good) and kept.
 
     Kept is false where the base rules fail, else whether the probability that the
     votes give reaches the threshold. All documents take part in the estimate. A null
-    text is an empty one and fails. Repeated rows are judged alike. An empty table gives no rows.
+    text is an empty one and fails. Repeated rows are judged alike; other columns, whatever their
+    names, are left out. Very long texts are counted whole. An empty table gives no rows.
     """
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     voted = _with_votes(docs.select("doc_id", "text"))
     narrow = checkpointed(voted.select("doc_id", *base, *(f"_tl_vote_{r}" for r in votes())))
-    model = fit(_patterns(narrow), list(votes()))
+    model = fit(narrow.withColumn("n", F.lit(1)), list(votes()))
     out = narrow.withColumn("base_failed", base_failed()).withColumn("probability", model.probability(vote_codes(votes())))
     return out.select("doc_id", *base, "base_failed", (~F.col("base_failed") & (F.col("probability") >= threshold)).alias("kept"), "probability")
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that score_quality keeps, with the columns of docs. Texts are read twice instead of being stored."""
+    """The documents that score_quality keeps, with the columns of docs.
+
+    Rows are kept with their votes in the shared folder, so that texts are counted once; those that fail the base
+    rules take part in the estimate without being kept. Null and empty texts go; equal rows share one fate.
+    An empty table gives no rows.
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     voted = _with_votes(docs.select("text", F.struct(*columns).alias("_tl_row")))
-    model = fit(_patterns(voted), list(votes()))
-    return voted.where(~base_failed() & (model.probability(vote_codes(votes())) >= threshold)).select("_tl_row.*")
+    rows = checkpointed(voted.select(F.when(~base_failed(), F.col("_tl_row")).alias("_tl_row"), *(F.col(f"_tl_vote_{r}").cast("byte").alias(f"_tl_vote_{r}") for r in votes())))
+    model = fit(rows.withColumn("n", F.lit(1)), list(votes()))
+    return rows.where(F.col("_tl_row").isNotNull() & (model.probability(vote_codes(votes())) >= threshold)).select("_tl_row.*")
