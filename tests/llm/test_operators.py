@@ -625,3 +625,37 @@ def test_a_tree_of_two_levels_and_full_leaves_loses_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOME_ROWS", 30)
     monkeypatch.setattr(simhash, "GUEST_ROWS", 50)
     assert roots(map(tuple, simhash.leaf_links(df, 3, 15).collect())) == wanted
+
+
+def test_asked_and_unasked_blocks_score_alike(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "BLOCK_TOKENS", 5000)
+    monkeypatch.setattr(ngram_lm, "SHARD_ROWS", 2000)
+    monkeypatch.setattr(ngram_lm, "FILE_WORDS", 1500)
+    model = ngram_lm.train(docs.where("doc_id % 3 > 0"))
+    assert model.word_files > 1
+    one = lambda **x: sorted(tuple(r) for r in ngram_lm.score(docs, model, ["doc_id"], **x).select("doc_id", F.round("score", 6)).collect())
+    unasked = one(asked=True)  # no block has been asked for, so that each goes to the shards
+    assert one() == unasked and one(asked=True) == unasked
+    assert {r[0] for r in unasked} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    ngram_lm.delete(model)
+
+
+def test_counts_beyond_32_bits(spark, docs, texts, monkeypatch):
+    found = {d: re.findall(WORD, t.translate(ASCII_LOWER)) for d, t in texts.items()}
+    plain, times = PlainModel([w for d, w in found.items()]), 1 << 33
+    pairs = ngram_lm.Block.pairs
+    monkeypatch.setattr(ngram_lm.Block, "pairs", lambda self: (*(x := pairs(self))[:3], x[3] * times))
+    model = ngram_lm.train(docs)
+    rows = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, model, ["doc_id"]).collect()}
+    ngram_lm.delete(model)
+    assert model.train_tokens == times * sum(len(w) + 1 for w in found.values()) and model.pairs_of_count == [0] * 4
+    # no count of 1 to 4 is left, so that the discounts are at their least
+    d = [0.0, 0.5, 0.5, 0.5]
+    assert model.discounts(model.pairs_of_count).tolist() == d
+    for k in sorted(found)[:40]:
+        total = 0.0
+        for v, w in pairwise(["<s>", *found[k], "</s>"]):
+            own = plain.after[v]
+            n, rest = sum(own.values()) * times, 0.5 * len(own)
+            total += math.log10(max(own[w] * times - 0.5, 0) / n + rest / n * plain.unigram(w))
+        assert math.isclose(rows[k], total, rel_tol=1e-9)

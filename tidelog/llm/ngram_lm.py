@@ -2,8 +2,9 @@
 
 Spark counts the bigrams: blocks of documents are counted in the tasks that read
 them and their counts meet in shards by hash. A shard's sorted hashes and counts are
-files in the shared folder. Scoring tasks map these files and look their own sorted
-bigrams up, so that a worker's memory holds pages of the model, never the model.
+files in the shared folder. What a block asks of a shard is answered in the task that
+has the shard, and the answers of a block meet in one file; so a scoring task maps its
+blocks' answers and the word files, and the number of files that are opened grows as the input does.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import LOWER, checkpointed, use_checkpoint_dir
 
 #: Tokens that a task counts or scores at once, and bigrams that a shard should hold.
 BLOCK_TOKENS, SHARD_ROWS = 1_000_000, 800_000
+#: Words in a file that scoring tasks map: 48 bytes each.
+FILE_WORDS = 4_000_000
 #: Documents of which the frequent words, whose bigrams are dealt out to several shards, are estimated. Results don't depend on them.
 HOT_SAMPLE = 2000
 START, END = np.uint64(1), np.uint64(2)
@@ -49,32 +52,47 @@ def shard_of(v: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray) -> np.n
     return (pair_hash(v, spread) >> np.uint64(40)).astype(np.int64) % shards
 
 
+def word_range(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of so many ranges of hashes, in order, a word falls into."""
+    return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
 class Block:
-    """Documents read together: their words as numbers, their bigrams sorted by hash."""
+    """Documents read together: their words as numbers, their bigrams sorted by word number, and a digest that names the block."""
 
     def __init__(self):
         self.ids: defaultdict[bytes, int] = defaultdict(itertools.count(2).__next__)
         self.docs: list[np.ndarray] = []
+        self.learns: list[bool] = []
         self.size = 0
+        self.digest = xxhash.xxh64()
 
-    def add(self, text: bytes) -> None:
+    def add(self, text: bytes, learns: bool = True) -> None:
         found = tokens(text)
         ids = np.empty(len(found) + 2, np.int64)
         ids[0], ids[-1] = 0, 1
         ids[1:-1] = np.fromiter(map(self.ids.__getitem__, found), np.int64, len(found))
         self.docs.append(ids)
+        self.learns.append(learns)
         self.size += len(found) + 1
+        self.digest.update(xxhash.xxh64_digest(text))
+
+    def name(self) -> int:
+        return self.digest.intdigest() - (1 << 63)
 
     def hashes(self) -> np.ndarray:
         """By word number; the first two are the start and the end of a document."""
         digest = xxhash.xxh64_intdigest
         return np.array([int(START), int(END), *(digest(w) for w in self.ids)], np.uint64)
 
-    def pairs(self, inverse: bool = False) -> tuple:
-        """(first, second, counts or where each token's pair is): distinct bigrams as word numbers."""
-        code = np.concatenate([(d[:-1] << 32) | d[1:] for d in self.docs]) if self.docs else np.zeros(0, np.int64)
-        unique, other = np.unique(code, return_inverse=True) if inverse else np.unique(code, return_counts=True)
-        return unique >> 32, unique & 0xFFFFFFFF, other
+    def pairs(self) -> tuple:
+        """(first, second, where each token's pair is, counts in documents that are learnt from): distinct bigrams as word numbers."""
+        if not self.docs:
+            return (np.zeros(0, np.int64),) * 4
+        code = np.concatenate([(d[:-1] << 32) | d[1:] for d in self.docs])
+        unique, inverse = np.unique(code, return_inverse=True)
+        learnt = np.repeat(self.learns, [len(d) - 1 for d in self.docs])
+        return unique >> 32, unique & 0xFFFFFFFF, inverse, np.bincount(inverse[learnt], minlength=len(unique))
 
 
 @dataclass
@@ -90,6 +108,7 @@ class Model:
     vocabulary: int = 0
     train_tokens: int = 0
     train_docs: int = 0
+    word_files: int = 0
 
     def discounts(self, n: list[int]) -> np.ndarray:
         """0, D1, D2, D3+ from how many have the counts 1 to 4 (Chen and Goodman, 1998), kept between 0 and the count."""
@@ -154,8 +173,9 @@ def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
 
 # --- training -------------------------------------------------------------------------------
 
-_CHUNK = "shard int, v array<long>, w array<long>, n array<int>"
-_WORDS = "shard int, h array<long>, " + ", ".join(f"{s} array<int>" for s in STATS) + ", pairs array<long>"
+_CHUNK = "shard int, block long, v array<long>, w array<long>, n array<long>"
+#: What shards give: statistics of words, for a range of hashes (kind 0), or counts that a block asked for (kind 1).
+_GIVEN = "kind int, key long, part int, h array<long>, " + ", ".join(f"{s} array<long>" for s in STATS) + ", pairs array<long>, counts binary"
 _SUMS = ("p1", "p2", "p3", "p4", "w1", "w2", "w3", "w4", "w_all", "distinct_pairs", "vocabulary", "train_tokens", "train_docs")
 
 
@@ -190,13 +210,114 @@ def frequent_words(docs: DataFrame, shards: int, rows: int) -> list[int]:
     return sorted(r["h"] & (2**64 - 1) for r in counted.where(F.col("n") > total / (4 * shards)).collect())
 
 
+def _small(n: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the largest needs: 1, 2, 4 or 8."""
+    most = int(n.max(initial=0))
+    return n.astype(next(f"<u{k}" for k in (1, 2, 4, 8) if most < 1 << 8 * k)).tobytes()
+
+
+def _counts(raw: np.ndarray, rows: int) -> np.ndarray:
+    return raw.view(f"<u{len(raw) // rows}") if rows else np.zeros(0, np.uint8)
+
+
+def added(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of whole numbers by row, as whole numbers."""
+    out = np.zeros(rows, np.int64)
+    np.add.at(out, at, values)
+    return out
+
+
+def _flat(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(name).chunks] or [np.zeros(0, kind)]).view(kind)
+
+
+def _chunks(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
+    """A row for each block of docs (text, learns) and shard: the block's bigrams there, and how often learnt documents have them."""
+
+    def of(block: Block) -> pa.RecordBatch:
+        v, w, _, n = block.pairs()
+        h = block.hashes()
+        v, w = h[v], h[w]
+        order, there, ends = _by_shard(shard_of(v, w, shards, hot))
+        cells = [_lists(x[order].view(np.int64), ends, pa.int64()) for x in (v, w, n)]
+        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(np.full(len(there), block.name())), *cells], ["shard", "block", "v", "w", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block()
+        for batch in batches:
+            for text, learns in zip(batch.column("text"), batch.column("learns").to_pylist(), strict=True):
+                block.add(text.as_buffer().to_pybytes() if text.is_valid else b"", learns)
+                if block.size >= BLOCK_TOKENS:
+                    yield of(block)
+                    block = Block()
+        if block.docs:
+            yield of(block)
+
+    return docs.select("text", "learns").mapInArrow(count, _CHUNK)
+
+
+def _given(rows: int, columns: dict) -> pa.Table:
+    """Rows of _GIVEN; columns that are left out are null."""
+    names = ["kind", "key", "part", "h", *STATS, "pairs", "counts"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * (len(STATS) + 2), pa.binary()]
+    return pa.table({c: columns[c] if c in columns else pa.nulls(rows, k) for c, k in zip(names, kinds, strict=True)})
+
+
+def _answers(table: pa.Table, counts: np.ndarray) -> pa.Table:
+    """The counts of a shard's chunks, for the blocks that sent them."""
+    ends = np.cumsum(np.concatenate([np.asarray(c.value_lengths()) for c in table.column("v").chunks])) if table.num_rows else np.zeros(0, np.int64)
+    cells = [_small(counts[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    n = table.num_rows
+    sizes = np.diff(np.concatenate([[0], ends]))
+    return _given(n, {"kind": pa.array(np.ones(n, np.int32)), "key": table.column("block"), "part": table.column("shard"), "h": _lists(sizes, np.arange(1, n + 1), pa.int64()), "counts": pa.array(cells, pa.binary())})
+
+
+def _finisher(uri: str):
+    """A function of what meets for a range of words, or for a block: writes its files and gives one row of sums."""
+
+    def words(table: pa.Table, part: int) -> list[int]:
+        key, at = np.unique(_flat(table, "h", np.uint64), return_inverse=True)
+        stats = {s: added(at, _flat(table, s, np.int64), len(key)) for s in STATS}
+        _write(uri, f"range-{part}.keys", key)
+        _write(uri, f"range-{part}.stats", np.stack([stats[s] for s in STATS], 1))
+        nc = stats["nc"]
+        pairs = _flat(table, "pairs", np.int64).reshape(-1, 4).sum(0).tolist()
+        starts = int(stats["c"][key == START].sum())
+        return [*pairs, *(int((nc == k).sum()) for k in (1, 2, 3, 4)), int((nc > 0).sum()), int(nc.sum()), int((nc > 0).sum()), int(stats["c"].sum()), starts]
+
+    def block(table: pa.Table, name: int) -> list[int]:
+        # blocks of the same texts have one name and the same answers
+        parts = dict(zip(table.column("part").to_pylist(), table.column("counts").to_pylist(), strict=True))
+        sizes = table.column("h").to_pylist()
+        lengths = dict(zip(table.column("part").to_pylist(), [x[0] for x in sizes], strict=True))
+        counts = [_counts(np.frombuffer(parts[k], np.uint8), lengths[k]).astype(np.uint64) for k in sorted(parts)]
+        _write(uri, f"block-{name}", np.frombuffer(_small(np.concatenate(counts)), np.uint8))
+        return [0] * len(_SUMS)
+
+    def finish(table: pa.Table) -> pa.Table:
+        kind, key = table.column("kind")[0].as_py(), table.column("key")[0].as_py()
+        row = block(table, key) if kind else words(table, key)
+        return pa.table({k: pa.array([x], pa.int64()) for k, x in zip(_SUMS, row, strict=True)})
+
+    return finish
+
+
+def _finished(given: DataFrame, uri: str) -> list[int]:
+    sums = given.groupBy("kind", "key").applyInArrow(_finisher(uri), ", ".join(f"{s} long" for s in _SUMS))
+    return [x or 0 for x in sums.agg(*(F.sum(c) for c in _SUMS)).first()]
+
+
 def train(docs: DataFrame) -> Model:
     """The bigram model of the texts of docs, as files in the shared folder; delete() removes them.
 
+    If docs have a column learns (boolean), the model learns from those where it holds; the counts that
+    blocks of all docs will ask for are then answered on the way, and score(docs, ..., asked=True) finds them.
     Null texts count as empty ones: a document without words is an end after a start.
     """
     spark = docs.sparkSession
     use_checkpoint_dir(spark)
+    if "learns" not in docs.columns:
+        docs = docs.select("text", F.lit(True).alias("learns"))
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     size = size or 0
     shards = max(4, -(-size // (7 * SHARD_ROWS)))
@@ -204,72 +325,74 @@ def train(docs: DataFrame) -> Model:
     store, base = _store(uri if "://" in uri or uri.startswith(("/", "file:")) else f"/{uri}")
     store.create_dir(base)
     uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
-    hot_list = frequent_words(docs, shards, rows)
-    hot = np.array(hot_list, np.uint64)
-
-    def chunks(block: Block) -> pa.RecordBatch:
-        v, w, n = block.pairs()
-        h = block.hashes()
-        v, w = h[v], h[w]
-        order, there, ends = _by_shard(shard_of(v, w, shards, hot))
-        cells = [_lists(x[order].view(np.int64), ends, pa.int64()) for x in (v, w)]
-        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *cells, _lists(n[order].astype(np.int32), ends, pa.int32())], ["shard", "v", "w", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block()
-        for batch in batches:
-            for text in batch.column("text"):
-                block.add(text.as_buffer().to_pybytes() if text.is_valid else b"")
-                if block.size >= BLOCK_TOKENS:
-                    yield chunks(block)
-                    block = Block()
-        if block.docs:
-            yield chunks(block)
-
-    def flat(table: pa.Table, name: str, kind: type) -> np.ndarray:
-        return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(name).chunks] or [np.zeros(0, kind)]).view(kind)
+    hot_list = frequent_words(docs.where("learns"), shards, rows)
 
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        v, w, n = flat(table, "v", np.uint64), flat(table, "w", np.uint64), flat(table, "n", np.int32)
+        v, w = _flat(table, "v", np.uint64), _flat(table, "w", np.uint64)
         key, first, inverse = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
-        n = np.bincount(inverse, n, len(key)).astype(np.int64)
-        v, w = v[first], w[first]
+        n = added(inverse, _flat(table, "n", np.int64), len(key))
+        answers = _answers(table, n[inverse])
+        learnt = n > 0
+        key, n, v, w = key[learnt], n[learnt], v[first[learnt]], w[first[learnt]]
         _write(uri, f"pairs-{shard}.keys", key)
-        _write(uri, f"pairs-{shard}.counts", n.astype(np.uint32))
+        _write(uri, f"pairs-{shard}.counts", np.frombuffer(_small(n), np.uint8))
         firsts, at = np.unique(v, return_inverse=True)
-        made = {"c": np.bincount(at, n, len(firsts))}
+        made = {"c": added(at, n, len(firsts))}
         for k in (1, 2, 3):
-            made[f"n{k}"] = np.bincount(at, n == k if k < 3 else n >= 3, len(firsts))
+            made[f"n{k}"] = np.bincount(at[n == k if k < 3 else n >= 3], minlength=len(firsts))
         seconds, follows = np.unique(w, return_counts=True)
         h = np.concatenate([firsts, seconds])
-        zero = lambda like: np.zeros(len(like))
+        zero = lambda like: np.zeros(len(like), np.int64)
         stats = {s: np.concatenate([made.get(s, zero(firsts)), follows if s == "nc" else zero(seconds)]) for s in STATS}
-        order, there, ends = _by_shard((h >> np.uint64(40)).astype(np.int64) % shards)
+        order, there, ends = _by_shard(word_range(h, shards))
         pairs = [[int((n == k).sum()) for k in (1, 2, 3, 4)] if i == 0 else [0] * 4 for i in range(len(there))]
-        return pa.table(
-            {"shard": pa.array(there.astype(np.int32)), "h": _lists(h[order].view(np.int64), ends, pa.int64())}
-            | {s: _lists(stats[s][order].astype(np.int32), ends, pa.int32()) for s in STATS}
-            | {"pairs": pa.array(pairs, pa.list_(pa.int64()))}
-        )
+        words = {"kind": pa.array(np.zeros(len(there), np.int32)), "key": pa.array(there), "h": _lists(h[order].view(np.int64), ends, pa.int64()), "pairs": pa.array(pairs, pa.list_(pa.int64()))}
+        return pa.concat_tables([_given(len(there), words | {s: _lists(stats[s][order].astype(np.int64), ends, pa.int64()) for s in STATS}), answers])
+
+    s = _finished(_chunks(docs, shards, np.array(hot_list, np.uint64)).groupBy("shard").applyInArrow(merge, _GIVEN), uri)
+    model = Model(uri, shards, hot_list, s[:4], s[4:9], s[9], s[10], s[11], s[12])
+    model.word_files = max(1, -(-model.vocabulary // FILE_WORDS))
+    _gather_words(spark, model)
+    return model
+
 
-    def words(table: pa.Table) -> pa.Table:
+def _gather_words(spark, model: Model) -> None:
+    """Ranges of words, written in order of their hashes, become fewer and larger files, copied piece by piece."""
+    uri, shards, files = model.uri, model.shards, model.word_files
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(uri)
+        for batch in batches:
+            for file in batch.column("id").to_pylist():
+                for end in ("keys", "stats"):
+                    part = f"{base}/_words-{file}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(part) as out:
+                        for k in range(-(-file * shards // files), -(-(file + 1) * shards // files)):
+                            try:
+                                source = store.open_input_stream(f"{base}/range-{k}.{end}")
+                            except FileNotFoundError:  # a range that no word fell into
+                                continue
+                            with source:
+                                while piece := source.read(1 << 22):
+                                    out.write(piece)
+                    store.move(part, f"{base}/words-{file}.{end}")
+            yield batch
+
+    spark.range(files).repartition(min(files, 1000)).mapInArrow(gather, "id long").count()
+
+
+def ask(docs: DataFrame, model: Model) -> None:
+    """Answers the counts that blocks of docs (text) will ask for, each shard in one task, and writes them as a file a block."""
+    uri = model.uri
+
+    def answer(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        key, at = np.unique(flat(table, "h", np.uint64), return_inverse=True)
-        stats = {s: np.bincount(at, flat(table, s, np.int32), len(key)).astype(np.int64) for s in STATS}
-        _write(uri, f"words-{shard}.keys", key)
-        _write(uri, f"words-{shard}.stats", np.stack([stats[s] for s in STATS], 1).astype(np.uint32))
-        nc = stats["nc"]
-        pairs = flat(table, "pairs", np.int64).reshape(-1, 4).sum(0).tolist()
-        starts = int(stats["c"][key == START].sum())
-        row = [*pairs, *(int((nc == k).sum()) for k in (1, 2, 3, 4)), int((nc > 0).sum()), int(nc.sum()), int((nc > 0).sum()), int(stats["c"].sum()), starts]
-        return pa.table({k: [x] for k, x in zip(_SUMS, row, strict=True)})
+        asked = pair_hash(_flat(table, "v", np.uint64), _flat(table, "w", np.uint64))
+        return _answers(table, _shard_counts(uri, shard, asked))
 
-    counted = docs.select("text").mapInArrow(count, _CHUNK)
-    merged = counted.groupBy("shard").applyInArrow(merge, _WORDS)
-    sums = merged.groupBy("shard").applyInArrow(words, ", ".join(f"{s} long" for s in _SUMS))
-    s = [x or 0 for x in sums.agg(*(F.sum(c) for c in _SUMS)).first()]
-    return Model(uri, shards, hot_list, s[:4], s[4:9], s[9], s[10], s[11], s[12])
+    chunks = _chunks(docs.select("text", F.lit(False).alias("learns")), model.shards, np.array(model.hot, np.uint64))
+    _finished(chunks.groupBy("shard").applyInArrow(answer, _GIVEN), uri)
 
 
 def delete(model: Model) -> None:
@@ -280,47 +403,59 @@ def delete(model: Model) -> None:
 # --- scoring --------------------------------------------------------------------------------
 
 
+def _shard_counts(uri: str, shard: int, wanted: np.ndarray) -> np.ndarray:
+    """Counts of bigrams by hash, from the mapped arrays of their shard."""
+    out = np.zeros(len(wanted), np.int64)
+    try:
+        keys = _mapped(uri, f"pairs-{shard}.keys", np.uint64)
+    except FileNotFoundError:  # a shard that no bigram fell into
+        return out
+    order = np.argsort(wanted)
+    at, found = _find(keys, wanted[order])
+    out[order[found]] = _counts(_mapped(uri, f"pairs-{shard}.counts", np.uint8), len(keys))[at[found]]
+    return out
+
+
 class Lookup:
-    """A model as a scoring task sees it."""
+    """A model as a scoring task sees it: the word files, mapped once, and a file of counts for each block."""
 
     def __init__(self, model: Model):
         self.model, self.hot = model, np.array(model.hot, np.uint64)
+        self.files: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def _each(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order, there, ends = _by_shard(shard)
-        yield from zip(there.tolist(), np.split(order, ends[:-1]), strict=True)
+    def _words_file(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in self.files:
+            self.files[k] = _mapped(self.model.uri, f"words-{k}.keys", np.uint64), _mapped(self.model.uri, f"words-{k}.stats", np.int64).reshape(-1, len(STATS))
+        return self.files[k]
 
     def words(self, h: np.ndarray) -> dict[str, np.ndarray]:
         out = np.zeros((len(h), len(STATS)), np.int64)
-        for shard, rows in self._each((h >> np.uint64(40)).astype(np.int64) % self.model.shards):
-            try:
-                keys = _mapped(self.model.uri, f"words-{shard}.keys", np.uint64)
-            except FileNotFoundError:  # a shard that no word fell into
-                continue
+        order, there, ends = _by_shard(word_range(h, self.model.shards) * self.model.word_files // self.model.shards)
+        for k, rows in zip(there.tolist(), np.split(order, ends[:-1]), strict=True):
+            keys, stats = self._words_file(k)
             rows = rows[np.argsort(h[rows])]
             at, found = _find(keys, h[rows])
-            out[rows[found]] = _mapped(self.model.uri, f"words-{shard}.stats", np.uint32).reshape(-1, len(STATS))[at[found]]
+            out[rows[found]] = stats[at[found]]
         return {s: out[:, i] for i, s in enumerate(STATS)}
 
-    def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out, key = np.zeros(len(v), np.int64), pair_hash(v, w)
-        for shard, rows in self._each(shard_of(v, w, self.model.shards, self.hot)):
-            try:
-                keys = _mapped(self.model.uri, f"pairs-{shard}.keys", np.uint64)
-            except FileNotFoundError:
-                continue
-            rows = rows[np.argsort(key[rows])]
-            at, found = _find(keys, key[rows])
-            out[rows[found]] = _mapped(self.model.uri, f"pairs-{shard}.counts", np.uint32)[at[found]]
+    def pairs(self, block: Block, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Counts of the block's bigrams: from its file, or from the shards if it was not asked for as it stands here, as where a scan is split in another way."""
+        order, there, ends = _by_shard(shard_of(v, w, self.model.shards, self.hot))
+        out = np.zeros(len(v), np.int64)
+        try:
+            out[order] = _counts(_mapped(self.model.uri, f"block-{block.name()}", np.uint8), len(v))
+        except FileNotFoundError:
+            for shard, rows in zip(there.tolist(), np.split(order, ends[:-1]), strict=True):
+                out[rows] = _shard_counts(self.model.uri, shard, pair_hash(v[rows], w[rows]))
         return out
 
     def scores(self, block: Block) -> dict[str, list]:
         """For each document of the block: n_tokens, n_known, base_score, score."""
         m = self.model
-        v, w, inverse = block.pairs(inverse=True)
+        v, w, inverse, _ = block.pairs()
         h = block.hashes()
         stats = self.words(h)
-        logs = np.log10(m.probability(self.pairs(h[v], h[w]), {s: x[v] for s, x in stats.items()}, m.unigram(stats["nc"])[w]))[inverse]
+        logs = np.log10(m.probability(self.pairs(block, h[v], h[w]), {s: x[v] for s, x in stats.items()}, m.unigram(stats["nc"])[w]))[inverse]
         count = stats["c"].copy()
         count[1] = m.train_docs
         base = np.log10((count + 0.5) / (m.train_tokens + 0.5 * (m.vocabulary + 1)))
@@ -330,12 +465,15 @@ class Lookup:
         return {"n_tokens": lengths, "n_known": sums((count > 0)[seconds].astype(np.int64)), "base_score": sums(base[seconds]), "score": sums(logs)}
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str], asked: bool = False) -> DataFrame:
     """The columns `keep` of docs with n_tokens, n_known, train_tokens (long), base_score, score and perplexity (double).
 
-    score is the log10 probability of the text and its end; a null text is an empty one.
+    score is the log10 probability of the text and its end; a null text is an empty one. asked: the model
+    was trained on these docs, or ask() has run over them.
     """
-    added = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
+    if not asked:
+        ask(docs, model)
+    extra = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     kinds = ["long", "long", "long", "double", "double", "double"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +485,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             cells = [s["n_tokens"], s["n_known"], np.full(n, model.train_tokens), s["base_score"], s["score"], 10 ** np.minimum(-s["score"] / s["n_tokens"], 300)]
             table = pa.Table.from_batches(kept).combine_chunks()
             have = [table.column(c).combine_chunks() for c in keep]
-            return pa.RecordBatch.from_arrays([*have, *map(pa.array, cells)], [*keep, *added])
+            return pa.RecordBatch.from_arrays([*have, *map(pa.array, cells)], [*keep, *extra])
 
         block, kept = Block(), []
         for batch in batches:
@@ -362,7 +500,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         if block.docs:
             yield rows(block, kept)
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {k}" for c, k in zip(added, kinds, strict=True))])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {k}" for c, k in zip(extra, kinds, strict=True))])
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
@@ -371,11 +509,12 @@ def held_out_scores(docs: DataFrame) -> DataFrame:
 
     The model learns from documents whose crc32(doc_id as text) mod 5 is not 1; the
     others, and only they, are held out. A null doc_id is not held out. The scores are
-    kept, the model's files are then removed.
+    kept, the model's files are then removed. Null and empty texts are an end alone; repeated rows are learnt
+    from and scored each; other columns, whatever their names, are left out. An empty table gives no rows.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    rows = docs.select("doc_id", "text", held.alias("held_out"))
-    model = train(rows.where("not held_out"))
-    scored = checkpointed(score(rows, model, ["doc_id", "held_out"]))
+    rows = docs.select("doc_id", "text", held.alias("held_out"), (~held).alias("learns"))
+    model = train(rows)
+    scored = checkpointed(score(rows, model, ["doc_id", "held_out"], asked=True))
     delete(model)
     return scored.drop("perplexity")
