@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts that the pages of a host are dealt into where they meet its list, so that a hot host is no single task.
-SALTS = 16
+from .common import checkpointed
+
+#: Pages from which a host is hot and is dealt into parts of so many where its pages meet its list; hot hosts at
+#: most: where there would be more, a host is hot from a larger number of pages.
+PART_PAGES, MOST_HOT = 256, 100_000
 #: Tags that end a line of a page.
 BLOCKS = r"(?is)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|table|tr|td|th|h[1-6]|title|body|head|html|blockquote|pre|hr)\b[^>]*>"
 #: What a reader of a page does not see.
@@ -25,30 +30,56 @@ def visible_lines(html: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 3) -> DataFrame:
-    """pages with host, n_lines, n_dropped (long) and text: the lines left, joined by newlines.
+def line_keys(lines: Column) -> Column:
+    """128 bits that stand for each line."""
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(F.lit(1), x).alias("a"), F.xxhash64(F.lit(2), x).alias("b")))
+
+
+def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 3, keep: Sequence[str] | None = None) -> DataFrame:
+    """pages (their columns `keep`, else all) with host, n_lines, n_dropped (long) and text: the lines left, joined by newlines.
 
     A line is boilerplate of its host if more than `ratio` of the host's pages have it,
-    and `least_pages` of them at least. A line counts once a page. Lines are counted
-    with partial sums before the shuffle, so that a hot host or line adds a row for each task.
+    and `least_pages` of them at least. A line counts once a page. A page is parsed once, and its lines are kept
+    in the shared folder; lines are counted by 128 bits of hash, with partial sums before the shuffle, so that a hot host or line adds a row for each task.
     A host has at most the lines of its average page divided by `ratio` such lines,
-    so that its list stays small; pages meet it by their host, a hot host's in SALTS parts.
+    so that its list stays small; pages meet it by their host, a hot host's in parts by its number of pages.
 
-    Pages whose url has no host, or is null, form one site, whose host is null. A null html has no
-    lines. Repeated rows are pages of their own. Equal counts need no tie-break.
+    Pages whose url has no host, or is null, form one site, whose host is null. A null or empty html has no
+    lines. Repeated rows are pages of their own, long pages are parsed whole. Columns of pages with the names of the four go.
+    Equal counts need no tie-break. An empty table gives no rows.
     """
-    host = F.col("_tl_host")
-    split = pages.drop("host", "n_lines", "n_dropped", "text").withColumns({"_tl_host": F.coalesce(host_of(F.col("url")), F.lit("")), "_tl_lines": F.coalesce(visible_lines(F.col("html")), F.array().cast("array<string>"))})
-    totals = split.groupBy("_tl_host").agg(F.count(F.lit(1)).alias("_tl_pages"))
-    lines = split.select(host, F.explode(F.array_distinct("_tl_lines")).alias("_tl_line")).groupBy("_tl_host", "_tl_line").agg(F.count(F.lit(1)).alias("_tl_n"))
-    frequent = lines.where(F.col("_tl_n") >= least_pages).join(totals, "_tl_host").where(F.col("_tl_n") > ratio * F.col("_tl_pages"))
-    lists = frequent.groupBy("_tl_host").agg(F.collect_list("_tl_line").alias("_tl_drop")).withColumnRenamed("_tl_host", "_tl_site")
-    salted = lists.withColumn("_tl_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = split.withColumn("_tl_salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int"))
-    met = dealt.join(salted, (F.col("_tl_host") == F.col("_tl_site")) & (F.col("_tl_salt") == F.col("_tl_part")), "left")
-    left = F.when(F.col("_tl_drop").isNull(), F.col("_tl_lines")).otherwise(F.filter("_tl_lines", lambda x: ~F.array_contains("_tl_drop", x)))
-    out = met.withColumn("_tl_left", left).withColumns({"host": F.nullif("_tl_host", F.lit("")), "n_lines": F.size("_tl_lines").cast("long"), "n_dropped": (F.size("_tl_lines") - F.size("_tl_left")).cast("long"), "text": F.array_join("_tl_left", "\n")})
-    return out.drop("_tl_host", "_tl_lines", "_tl_site", "_tl_drop", "_tl_left", "_tl_salt", "_tl_part")
+    added = ("host", "n_lines", "n_dropped", "text")
+    kept = [c for c in (pages.columns if keep is None else keep) if c not in added]
+    split = checkpointed(
+        pages.select(
+            *(F.col(f"`{c}`") for c in kept),
+            F.coalesce(host_of(F.col("url")), F.lit("")).alias("_tl_host"),
+            F.coalesce(visible_lines(F.col("html")), F.array().cast("array<string>")).alias("_tl_lines"),
+            F.pmod(F.xxhash64("url", "html"), F.lit(1 << 30)).alias("_tl_draw"),
+        )
+    )
+    totals = checkpointed(split.groupBy("_tl_host").agg(F.count(F.lit(1)).alias("_tl_pages")))
+    every = totals.agg(F.sum("_tl_pages")).first()[0] or 0
+    most = max(PART_PAGES, -(-every // MOST_HOT))
+    # each hot host has more than 1 of MOST_HOT parts of all pages, so that there are fewer than MOST_HOT
+    hot = F.broadcast(totals.where(F.col("_tl_pages") > most).select("_tl_host", F.ceil(F.col("_tl_pages") / most).alias("_tl_parts")))
+    with_part = lambda df, draw: df.join(hot, "_tl_host", "left").withColumn("_tl_part", F.pmod(draw, F.coalesce("_tl_parts", F.lit(1).cast("long")))).drop("_tl_parts")
+    in_parts = lambda df: df.join(hot, "_tl_host", "left").withColumn("_tl_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_tl_parts", F.lit(1).cast("long")) - 1))).drop("_tl_parts")
+    site = ["_tl_host", "_tl_part"]
+    lines = split.select("_tl_host", F.explode(F.array_distinct(line_keys(F.col("_tl_lines")))).alias("_tl_line")).groupBy("_tl_host", "_tl_line").agg(F.count(F.lit(1)).alias("_tl_n"))
+    frequent = with_part(lines.where(F.col("_tl_n") >= least_pages), F.col("_tl_line.a")).join(in_parts(totals), site).where(F.col("_tl_n") > ratio * F.col("_tl_pages"))
+    lists = in_parts(frequent.groupBy("_tl_host").agg(F.collect_list("_tl_line").alias("_tl_drop")))
+    met = with_part(split, F.col("_tl_draw")).join(lists, site, "left")
+    keyed = F.arrays_zip(F.col("_tl_lines").alias("l"), line_keys(F.col("_tl_lines")).alias("k"))
+    stays = F.transform(F.filter(keyed, lambda x: ~F.array_contains("_tl_drop", x["k"])), lambda x: x["l"])
+    out = met.withColumn("_tl_left", F.when(F.col("_tl_drop").isNull(), F.col("_tl_lines")).otherwise(stays))
+    return out.select(
+        *(F.col(f"`{c}`") for c in kept),
+        F.nullif("_tl_host", F.lit("")).alias("host"),
+        F.size("_tl_lines").cast("long").alias("n_lines"),
+        (F.size("_tl_lines") - F.size("_tl_left")).cast("long").alias("n_dropped"),
+        F.array_join("_tl_left", "\n").alias("text"),
+    )
 
 
 def oracle_sql(ratio: float = 0.3, least_pages: int = 3) -> str:

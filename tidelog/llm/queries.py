@@ -20,7 +20,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return line_dedup.drop_boilerplate(pages, ratio=0.3, least_pages=3).select("page_id", "host", "n_lines", "n_dropped", "text")
+    return line_dedup.drop_boilerplate(pages, ratio=0.3, least_pages=3, keep=["page_id"])
 
 
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
