@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import checkpointed
+
 #: numpy draws from populations below this.
 NUMPY_MOST = 10**9
 
@@ -75,12 +77,11 @@ def shard_documents(docs: DataFrame, shards: int, seed: int = 7, block_rows: int
     partition deals its rows out in an order drawn by hash, and each block orders what it
     got by another. A shard is one or more blocks of at most `block_rows` rows.
 
-    docs must give the same rows to each partition whenever it runs, as a scan of files
-    does; a task whose partition has another number of rows than counted fails. Nulls
-    are values like others; rows equal in all columns are dealt in any order. An empty
-    table gives no rows; with fewer rows than shards the last shards stay empty.
+    The rows are kept in the shared folder first, so that what is counted is what is dealt, also
+    after a lost executor. Nulls are values like others; rows equal in all columns are dealt in any order, long
+    texts as any. Columns named shard or slot go. An empty table gives no rows; with fewer rows than shards the last shards stay empty.
     """
-    docs = docs.drop("shard", "slot")
+    docs = checkpointed(docs.drop("shard", "slot"))
     pid = F.spark_partition_id()
     counted = {r["p"]: r["n"] for r in docs.groupBy(pid.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = np.array([counted.get(p, 0) for p in range(max(counted, default=0) + 1)], np.int64)
@@ -99,7 +100,7 @@ def shard_documents(docs: DataFrame, shards: int, seed: int = 7, block_rows: int
             names = [n for n in batch.schema.names if n != "_tl_draw"]
             yield batch.select(names).append_column("_tl_block", pa.array(block, pa.int64()))
         if done != expected:
-            raise ValueError(f"partition {index} has {done} rows, {expected} were counted: write docs to a table first")
+            raise ValueError(f"partition {index} has {done} rows, {expected} were counted")
 
     drawn = docs.withColumn("_tl_draw", F.xxhash64(F.lit(seed), *plain)).sortWithinPartitions("_tl_draw")
     dealt = drawn.mapInArrow(deal, schema)
