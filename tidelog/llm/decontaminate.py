@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from .common import LOWER, checkpointed
 
-#: Bytes of benchmark text that one broadcast set may be built from; a larger benchmark goes in blocks.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that one broadcast set may be built from, about 80 bytes of arrays for each window of
+#: it; a larger benchmark goes in blocks, of which so many are scanned in a row before the rows are kept.
+BLOCK_BYTES, CHAINED = 4 << 20, 4
 #: ASCII letters and digits and every byte of a non-ASCII character belong to words; the rest separates.
 SEPARATORS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in LOWER)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -34,49 +35,71 @@ def word_spans(text: bytes) -> list[tuple[int, int]]:
     return spans
 
 
-def _codes(ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+def _codes(ids: np.ndarray, starts: np.ndarray, length: int, seed: int) -> np.ndarray:
     code = np.zeros(len(starts), np.uint64)
     for k in range(length):
-        code = code * _MULTIPLIER + ids[starts + k].astype(np.uint64) + np.uint64(1)
+        code = code * (_MULTIPLIER * np.uint64(seed)) + ids[starts + k].astype(np.uint64) + np.uint64(1)
     return code
 
 
-class WindowSet:
-    """The windows of benchmark items: word numbers, and the items of each window."""
+def window_set(items: list[tuple[str, bytes]], width: int) -> tuple:
+    """The windows of benchmark items as sorted arrays: (words, items, sets).
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int):
-        self.ids: dict[bytes, int] = {}
-        self.items: dict[bytes, set[str]] = {}
-        codes: dict[int, set[int]] = {}
-        for item, text in items:
-            found = item_words(text)
-            ids = np.array([self.ids.setdefault(w, len(self.ids)) for w in found], np.int32)
-            length = min(width, len(ids))
-            if not length:
-                continue
-            starts = np.arange(len(ids) - length + 1)
-            for start in starts:
-                self.items.setdefault(ids[start : start + length].tobytes(), set()).add(item)
-            codes.setdefault(length, set()).update(_codes(ids, starts, length).tolist())
-        self.codes = {n: np.array(sorted(x), np.uint64) for n, x in codes.items()}
+    sets: for each length of window its codes in order, the word numbers of the window
+    with that code, and where the numbers of its items begin in the last array. Tasks get
+    these arrays as they are; only the numbers of words become a dictionary there.
+    """
+    number: dict[bytes, int] = {}
+    by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for item, (_, text) in enumerate(items):
+        ids = np.array([number.setdefault(w, len(number)) for w in item_words(text)], np.int32)
+        if length := min(width, len(ids)):
+            by_length.setdefault(length, []).append((item, np.lib.stride_tricks.sliding_window_view(ids, length)))
+    sets = []
+    for length, own in sorted(by_length.items()):
+        windows, which = np.unique(np.concatenate([w for _, w in own]), axis=0, return_inverse=True)
+        owner = np.repeat([item for item, _ in own], [len(w) for _, w in own])
+        pairs = np.unique(np.stack([which.ravel(), owner], 1), axis=0)
+        start = np.arange(0, windows.size, length)
+        seed = 1
+        while len(np.unique(codes := _codes(windows.ravel(), start, length, seed))) < len(codes):  # no two windows share a code
+            seed += 2
+        order = np.argsort(codes)
+        ends = np.cumsum(np.bincount(pairs[:, 0], minlength=len(windows)))
+        begins = ends - np.bincount(pairs[:, 0], minlength=len(windows))
+        sets.append((length, seed, codes[order], windows[order], begins[order], ends[order], pairs[:, 1].astype(np.int32)))
+    return list(number), [name for name, _ in items], sets
+
+
+class WindowScan:
+    """Scans words for the windows of a set: candidates by code, verified by their words."""
+
+    def __init__(self, windows: tuple):
+        words, self.names, self.sets = windows
+        self.ids = {w: k for k, w in enumerate(words)}
 
     def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The windows' occurrences as merged ranges of words, and the items that have any."""
         ids = np.fromiter(map(self.ids.get, found, repeat(-1)), np.int32, len(found))
         unknown = np.concatenate([[0], np.cumsum(ids < 0)])
         hits, items = [], set()
-        for length, codes in self.codes.items():
+        for length, seed, codes, windows, begins, ends, owners in self.sets:
             if len(ids) < length:
                 continue
             starts = np.flatnonzero(unknown[length:] == unknown[:-length])
             if not len(starts):
                 continue
-            code = _codes(ids, starts, length)
+            code = _codes(ids, starts, length, seed)
             at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            for start in starts[codes[at] == code].tolist():
-                if (own := self.items.get(ids[start : start + length].tobytes())) is not None:
-                    items |= own
-                    hits.append((start, start + length))
+            same = codes[at] == code
+            starts, at = starts[same], at[same]
+            same = (windows[at] == ids[starts[:, None] + np.arange(length)]).all(1)
+            starts, at = starts[same], np.unique(at[same])
+            if len(starts):
+                first = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + length]))
+                hits += zip(starts[first].tolist(), (starts[np.append(first[1:], len(starts)) - 1] + length).tolist(), strict=True)
+                for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True):
+                    items |= {self.names[k] for k in owners[a:b].tolist()}
         return merged(hits), items
 
 
@@ -94,11 +117,13 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_b
     """docs with bench_words (long), bench_ranges (array of [start, end) word ranges, flattened) and bench_items (array of ids as text).
 
     Each benchmark item gives its windows of `width` words, or one window if it is
-    shorter. The set of windows is broadcast; the size of the benchmark is checked
-    first, and a benchmark of over `block_bytes` is scanned in blocks of about that size.
+    shorter. The set of windows is broadcast as sorted arrays; the size of the benchmark is checked
+    first, and a benchmark of over `block_bytes` is scanned in blocks of about that size, CHAINED of them in a
+    row, after which the rows are kept in the shared folder.
 
     A null text has no words. An item with null text gives no window; an item with
-    null id counts as the item ''. Repeated items count once. An empty benchmark hits nothing.
+    null id counts as the item ''. Repeated items count once. An empty benchmark hits nothing. Repeated rows are
+    scanned each, long texts whole; columns of docs with the names of the three go. An empty table gives no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.encode(F.col("text"), "UTF-8").alias("text")).where("text is not null")
@@ -109,16 +134,16 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_b
     schema = T.StructType([*out.schema, *added])
     for block in range(max(1, blocks)):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(max(1, blocks))) == block)
-        shared = spark.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in own.collect()])
-        if block:  # between blocks the rows are kept, so that each is scanned once a block
+        shared = spark.sparkContext.broadcast(window_set([(r["item"], bytes(r["text"])) for r in own.collect()], width))
+        if block and block % CHAINED == 0:
             out = checkpointed(out)
-        out = out.mapInArrow(_scanner(shared, width, block > 0), schema)
+        out = out.mapInArrow(_scanner(shared, block > 0), schema)
     return out
 
 
-def _scanner(shared, width: int, again: bool):
+def _scanner(shared, again: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = WindowSet(shared.value, width)
+        windows = WindowScan(shared.value)
         for batch in batches:
             count, ranges, items = [], [], []
             for i, text in enumerate(batch.column("text")):
@@ -139,13 +164,19 @@ def _scanner(shared, width: int, again: bool):
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The documents of docs in which no window of the benchmark occurs, with the columns of docs."""
+    """The documents of docs in which no window of the benchmark occurs, with the columns of docs.
+
+    Null and empty texts stay, as do repeated rows; an empty table gives no rows.
+    """
     found = find_windows(docs, benchmark, width)
     return found.where(F.size("bench_ranges") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs with the text of each hit range of words cut out; other texts stay as they are."""
+    """docs with the text of each hit range of words cut out; other texts, null and empty ones among them, stay as they are.
+
+    Repeated rows are cut each; an empty table gives no rows.
+    """
     found, columns = find_windows(docs, benchmark, width), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
