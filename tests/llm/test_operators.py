@@ -659,3 +659,20 @@ def test_counts_beyond_32_bits(spark, docs, texts, monkeypatch):
             n, rest = sum(own.values()) * times, 0.5 * len(own)
             total += math.log10(max(own[w] * times - 0.5, 0) / n + rest / n * plain.unigram(w))
         assert math.isclose(rows[k], total, rel_tol=1e-9)
+
+
+def test_common_passages_are_passed_over_and_hide_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_ROWS", 20)
+    monkeypatch.setattr(simhash, "TILE_ROWS", 20)
+    own = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    passage = own("p", 60)
+    texts = {k: own(k, 100) + passage + own(f"{k}b", 100) for k in range(150)} | {k: own(k, 15) + passage for k in range(150, 170)}
+    copies = {1000 + k: [*texts[k][:-3], "changed", *texts[k][-2:]] for k in range(0, 170, 3)}
+    rows = [(k, " ".join(t)) for k, t in {**texts, **copies}.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    assert all(groups[k] == k for k in range(150)) and all(groups[1000 + k] == groups[k] for k in range(0, 170, 3))
+    common = set(simhash.shingle_hashes(" ".join(passage).encode().split(), 5).view(np.int64).tolist())
+    points = simhash._signatures(df, 5).groupBy("whole").agg(F.first("doc_id").alias("doc_id"), F.first("lowest").alias("lowest"))
+    anchors = {r["doc_id"]: set(r["anchors"]) for r in simhash.with_anchors(points, 20).collect()}
+    assert not any(anchors[k] & common for k in range(150)) and all(len(anchors[k]) >= simhash.ANCHORS for k in anchors)

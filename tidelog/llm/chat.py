@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-
 #: Turns that one part of a rendered conversation holds; longer ones go on in further parts.
 PART_TURNS = 1024
 
@@ -21,23 +19,28 @@ def ranked_turns(conversations: DataFrame) -> DataFrame:
     The hash of a turn covers its rank, so that the exclusive or of the hashes up to a
     rank stands for the ordered prefix; two of 64 bits make collisions negligible. A
     conversation's turns are sorted in one partition, with spill to disk, and never held together.
+    A conversation's key is _tl_none (its id is null) and _tl_id (its id, else any value), which are never null.
     """
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
+    key = ["_tl_none", "_tl_id"]
+    kind = conversations.schema["conv_id"].dataType
+    named = conversations.select("turn", "role", "text", F.col("conv_id").isNull().alias("_tl_none"), F.coalesce("conv_id", F.lit(0).cast(kind)).alias("_tl_id"))
+    order = Window.partitionBy(*key).orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = conversations.select("conv_id", "turn", "role", "text").withColumn("_tl_rank", F.row_number().over(order).cast("long"))
+    ranked = named.withColumn("_tl_rank", F.row_number().over(order).cast("long"))
     hashed = ranked.withColumns({"_tl_x": _turn_hash(1), "_tl_y": _turn_hash(2)})
-    return hashed.withColumns({"_tl_a": F.bit_xor("_tl_x").over(upto), "_tl_b": F.bit_xor("_tl_y").over(upto), "_tl_n": F.count(F.lit(1)).over(Window.partitionBy("conv_id"))}).drop("_tl_x", "_tl_y")
+    return hashed.withColumns({"_tl_a": F.bit_xor("_tl_x").over(upto), "_tl_b": F.bit_xor("_tl_y").over(upto), "_tl_n": F.count(F.lit(1)).over(Window.partitionBy(*key))}).drop("_tl_x", "_tl_y")
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns) of conversations that are no proper prefix of another; of equal ones the smallest conv_id.
+    """(_tl_none, _tl_id, n_turns) of conversations that are no proper prefix of another; of equal ones the smallest conv_id.
 
     Both sides of the anti-join hold a key once: equal prefixes are merged before the shuffle.
     """
     key = ["_tl_rank", "_tl_a", "_tl_b"]
-    whole = turns.where("_tl_rank = _tl_n").groupBy(*key).agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id"))["conv_id"].alias("conv_id"))
+    first = F.min(F.struct("_tl_none", "_tl_id")).alias("_tl_first")
+    whole = turns.where("_tl_rank = _tl_n").groupBy(*key).agg(first)
     prefixes = turns.where("_tl_rank < _tl_n").select(*key).distinct()
-    return whole.join(prefixes, key, "left_anti").select("conv_id", F.col("_tl_rank").alias("n_turns"))
+    return whole.join(prefixes, key, "left_anti").select("_tl_first._tl_none", "_tl_first._tl_id", F.col("_tl_rank").alias("n_turns"))
 
 
 def rendered_turn() -> Column:
@@ -52,13 +55,13 @@ def format_chats(conversations: DataFrame, part_turns: int = PART_TURNS) -> Data
     smallest conv_id stays. A conversation of over `part_turns` turns is rendered in
     parts that follow each other, so that no row gathers more. Rows with a null
     conv_id form one conversation. Turns with equal numbers are ordered by role and text, nulls last;
-    repeated rows are turns of their own. An empty table gives no rows.
+    repeated rows are turns of their own, long texts are rendered whole, other columns are left out. An empty table gives no rows.
     """
-    turns = checkpointed(ranked_turns(conversations))
-    kept = maximal_conversations(turns).withColumnRenamed("conv_id", "_tl_conv")
-    of_kept = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("_tl_conv"))).withColumn("part", F.floor((F.col("_tl_rank") - 1) / part_turns).cast("long"))
-    parts = of_kept.groupBy("conv_id", "part", "n_turns").agg(F.sort_array(F.collect_list(F.struct("_tl_rank", rendered_turn().alias("t")))).alias("_tl_turns"), F.count_distinct("role").alias("n_roles"))
-    return parts.select("conv_id", "part", "n_turns", "n_roles", F.array_join(F.transform("_tl_turns", lambda x: x["t"]), "").alias("text"))
+    turns = ranked_turns(conversations)
+    # one shuffle of the texts serves both sides; the conversations that stay meet it by the key it is dealt by
+    of_kept = turns.join(maximal_conversations(turns), ["_tl_none", "_tl_id"]).withColumn("part", F.floor((F.col("_tl_rank") - 1) / part_turns).cast("long"))
+    parts = of_kept.groupBy("_tl_none", "_tl_id", "part", "n_turns").agg(F.sort_array(F.collect_list(F.struct("_tl_rank", rendered_turn().alias("t")))).alias("_tl_turns"), F.count_distinct("role").alias("n_roles"))
+    return parts.select(F.when(~F.col("_tl_none"), F.col("_tl_id")).alias("conv_id"), "part", "n_turns", "n_roles", F.array_join(F.transform("_tl_turns", lambda x: x["t"]), "").alias("text"))
 
 
 def oracle_sql(part_turns: int = PART_TURNS) -> str:

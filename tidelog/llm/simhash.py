@@ -357,10 +357,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 
 #: Multipliers of the lanes of a long fingerprint.
 LANES = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-#: Smallest shingle hashes by which documents meet.
-ANCHORS = 4
-#: Texts, and shingle hashes of candidates, that are compared in one task at once at most, as expected of a deal by hash.
-TILE_ROWS, TILE_HASHES = 1 << 15, 1 << 21
+#: Smallest shingle hashes that a text is known by; those by which it meets others, and how many it takes of its own if some of them are too common.
+LOWEST, ANCHORS, RARE_ANCHORS = 16, 4, 8
+#: Texts, and shingle hashes of candidates, that are compared in one task at once at most, as expected of a deal by hash;
+#: fewer, but so many at least, where the average task has fewer.
+TILE_ROWS, TILE_HASHES, LEAST_ROWS, LEAST_HASHES = 1 << 15, 1 << 21, 1 << 10, 1 << 16
+#: Rows of a table that is broadcast at most, of some 32 bytes each.
+MOST_BROADCAST = 1 << 20
 
 
 def lanes(hashes: np.ndarray) -> list[int]:
@@ -378,24 +381,24 @@ def bits_apart(similarity: float, bits: int, slack: float = 4.0) -> int:
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_hash", "whole", "size", "anchors", *(f"f{k}" for k in range(len(LANES)))]
+    names = ["doc_id", "text_hash", "whole", "size", "lowest", *(f"f{k}" for k in range(len(LANES)))]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, size, anchors, prints = [], [], [], []
+            whole, size, lowest, prints = [], [], [], []
             for text in batch.column("text"):
                 found = normal_words(text.as_buffer().to_pybytes()) if text.is_valid else []
                 whole.append(xxhash.xxh64_intdigest(b" ".join(found), SEED))
                 hashes = np.unique(shingle_hashes(found, width))
                 size.append(len(hashes))
-                anchors.append(hashes[:ANCHORS].view(np.int64))
+                lowest.append(hashes[:LOWEST].view(np.int64))
                 prints.append(lanes(hashes) if len(hashes) else [0] * len(LANES))
             values = np.array(prints, np.uint64).reshape(-1, len(LANES)).view(np.int64)
-            cells = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))]
+            cells = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(lowest, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*cells, *(pa.array(values[:, k]) for k in range(len(LANES)))], names)
 
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return read.mapInArrow(of, f"doc_id {kind}, text_hash long, whole long, size long, anchors array<long>, " + ", ".join(f"{n} long" for n in names[5:]))
+    return read.mapInArrow(of, f"doc_id {kind}, text_hash long, whole long, size long, lowest array<long>, " + ", ".join(f"{n} long" for n in names[5:]))
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -453,21 +456,48 @@ def alike(hashes: np.ndarray, ends: np.ndarray, similarity: float, side: np.ndar
     return label
 
 
+def if_small(df: DataFrame) -> DataFrame:
+    """df, kept, and broadcast only if it has MOST_BROADCAST rows at most."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
+
+
+def share_of_task(spark, total: int, least: int, most: int) -> int:
+    """What a task may hold of one group: an average task's share, within bounds."""
+    return min(most, max(least, total // shuffle_partitions(spark)))
+
+
 def tiled(rows: DataFrame, keys: list[str], weight: Column, most: int) -> DataFrame:
     """rows with tile_a, tile_b and side: groups heavier than `most` are dealt into parts by `whole`, and each two parts meet in a tile.
 
     A tile (a, b) holds the rows of two parts, told apart by side, or those of one part if a = b; a lighter group is
     one tile. So no task holds more than `most`, and each pair of rows of a group is in one tile as a pair to compare.
     """
-    # few rows: each stands for more than `most` of the weight
-    heavy = rows.groupBy(*keys).agg(F.sum(weight).alias("_tl_weight")).where(F.col("_tl_weight") > most).select(*keys, F.ceil(2 * F.col("_tl_weight") / most).alias("_tl_parts"))
+    heavy = if_small(rows.groupBy(*keys).agg(F.sum(weight).alias("_tl_weight")).where(F.col("_tl_weight") > most).select(*keys, F.ceil(2 * F.col("_tl_weight") / most).alias("_tl_parts")))
     parts = F.coalesce("_tl_parts", F.lit(1).cast("long"))
-    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_tl_part", F.pmod("whole", parts))
+    dealt = rows.join(heavy, keys, "left").withColumn("_tl_part", F.pmod("whole", parts))
     met = dealt.withColumn("_tl_other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     own = F.least("_tl_part", "_tl_other").alias("tile_a"), F.greatest("_tl_part", "_tl_other").alias("tile_b")
     return met.select(*(F.col(f"`{c}`") for c in rows.columns), *own, (F.col("_tl_part") >= F.col("_tl_other")).alias("side"))
 
 
+def with_anchors(points: DataFrame, most: int) -> DataFrame:
+    """points (whole, lowest, ...) with anchors, the hashes by which a text meets others.
+
+    These are its ANCHORS smallest ones. If hashes among its LOWEST ones are in more than `most` texts, as those of a passage that
+    a third of the corpus has, it takes the RARE_ANCHORS smallest of the others: half of it is then not that passage,
+    and texts that are alike at 0.8 are so at 0.6 in what they have besides. If fewer are left, common
+    passages are most of the text, and it meets others by all of its hashes that are rare and the smallest ones.
+    """
+    each = points.select("whole", F.explode("lowest").alias("h"))
+    common = if_small(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("h"))
+    of_text = each.join(common, "h").groupBy("whole").agg(F.collect_set("h").alias("_tl_common"))
+    rare = F.array_except("lowest", F.coalesce("_tl_common", F.array().cast("array<long>")))
+    smallest = F.slice("lowest", 1, ANCHORS)
+    chosen = F.when(F.col("_tl_common").isNull(), smallest).when(F.size(rare) >= RARE_ANCHORS, F.slice(rare, 1, RARE_ANCHORS)).otherwise(F.array_union(smallest, rare))
+    return points.join(of_text, "whole", "left").withColumn("anchors", chosen).drop("_tl_common", "lowest")
+
+
 def _sets(texts: DataFrame, width: int) -> DataFrame:
     """(whole, hashes): the sorted shingle hashes of each text."""
 
@@ -491,17 +521,19 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     almost surely; in a shard, fingerprints of 256 bits are compared behind the
     triangle bound, at a radius wide enough for all but one in ten thousand alike pairs. That only finds candidates:
     the shingle sets of candidates meet again and are linked if their exact Jaccard similarity is `similarity` or more.
-    Large shards are dealt into tiles both times, so that no task holds one whole.
+    Hashes that too many texts share are passed over where others will do, and large shards are dealt into tiles both times, so that no task holds one whole.
     whole is the hash of a document's words, group that of one member.
-    Equal documents count once. Documents without words form one group.
+    Equal documents count once. Documents without words, null or empty, form one group; other columns are left out,
+    long texts are compared whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prints = [f"f{k}" for k in range(len(LANES))]
     rows = checkpointed(_signatures(docs, width))
-    points = rows.groupBy("whole").agg(F.first(F.struct("doc_id", "text_hash")).alias("one"), *(F.first(c).alias(c) for c in ("size", "anchors", *prints)))
+    points = rows.groupBy("whole").agg(F.first(F.struct("doc_id", "text_hash")).alias("one"), *(F.first(c).alias(c) for c in ("size", "lowest", *prints)))
+    most = share_of_task(spark, ANCHORS * rows.count(), LEAST_ROWS, TILE_ROWS)
     radius = bits_apart(similarity, 64 * len(LANES))
     shards = ["anchor", "tile_a", "tile_b"]
-    meets = points.select("whole", "one", "size", *prints, F.explode("anchors").alias("anchor"))
+    meets = with_anchors(points, most).select("whole", "one", "size", *prints, F.explode("anchors").alias("anchor"))
     keys = len(shards)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -522,7 +554,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = shuffle_partitions(spark)
-    tiles = tiled(meets, ["anchor"], F.lit(1), TILE_ROWS)
+    tiles = tiled(meets, ["anchor"], F.lit(1), most)
     dealt = tiles.select(*shards, "side", "whole", "size", *prints, "one.doc_id", "one.text_hash").repartition(parts, *shards).sortWithinPartitions(*shards)
     met = checkpointed(dealt.mapInArrow(candidates, f"anchor long, tile_a long, tile_b long, near long, whole long, size long, doc_id {kind}, text_hash long"))
     # one row of docs for each candidate text
@@ -547,7 +579,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     # candidates meet in tiles of their own, whose weight is that of their sets
     shard = met.select(F.xxhash64(*shards, "near").alias("shard"), "whole", "size").distinct()
     groups = ["shard", "tile_a", "tile_b"]
-    again = tiled(shard, ["shard"], F.col("size"), TILE_HASHES).join(sets, "whole").select(*groups, "side", "whole", "hashes")
+    weight = shard.agg(F.sum("size")).first()[0] or 0
+    again = tiled(shard, ["shard"], F.col("size"), share_of_task(spark, weight, LEAST_HASHES, TILE_HASHES)).join(sets, "whole").select(*groups, "side", "whole", "hashes")
     found = again.repartition(parts, *groups).sortWithinPartitions(*groups).mapInArrow(links, "a long, b long")
     return with_components(rows.select("doc_id", "text_hash", "whole"), "whole", found)
 
