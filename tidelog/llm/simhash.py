@@ -529,11 +529,11 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     spark = docs.sparkSession
     prints = [f"f{k}" for k in range(len(LANES))]
     rows = checkpointed(_signatures(docs, width))
-    points = rows.groupBy("whole").agg(F.first(F.struct("doc_id", "text_hash")).alias("one"), *(F.first(c).alias(c) for c in ("size", "lowest", *prints)))
+    points = checkpointed(rows.groupBy("whole").agg(F.first(F.struct("doc_id", "text_hash")).alias("one"), *(F.first(c).alias(c) for c in ("size", "lowest", *prints))))
     most = share_of_task(spark, ANCHORS * rows.count(), LEAST_ROWS, TILE_ROWS)
     radius = bits_apart(similarity, 64 * len(LANES))
     shards = ["anchor", "tile_a", "tile_b"]
-    meets = with_anchors(points, most).select("whole", "one", "size", *prints, F.explode("anchors").alias("anchor"))
+    meets = checkpointed(with_anchors(points, most)).select("whole", "one", "size", *prints, F.explode("anchors").alias("anchor"))
     keys = len(shards)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -558,7 +558,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     dealt = tiles.select(*shards, "side", "whole", "size", *prints, "one.doc_id", "one.text_hash").repartition(parts, *shards).sortWithinPartitions(*shards)
     met = checkpointed(dealt.mapInArrow(candidates, f"anchor long, tile_a long, tile_b long, near long, whole long, size long, doc_id {kind}, text_hash long"))
     # one row of docs for each candidate text
-    wanted = met.select(F.col("doc_id").alias("_tl_id"), F.col("text_hash").alias("_tl_hash")).distinct()
+    wanted = if_small(met.select(F.col("doc_id").alias("_tl_id"), F.col("text_hash").alias("_tl_hash")).distinct())
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = read.join(wanted, F.col("doc_id").eqNullSafe(F.col("_tl_id")) & (F.col("text_hash") == F.col("_tl_hash")), "left_semi")
     sets = _sets(texts, width).dropDuplicates(["whole"])
@@ -592,10 +592,12 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     with the smallest text hash stays, of equal rows one. Equal ids of different groups don't meet.
     """
     groups = similar_groups(docs, width, similarity)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_tl_keep"), F.col("text_hash").alias("_tl_hash")))
-    stays = groups.groupBy("group").agg(first.alias("x")).select("x._tl_keep", "x._tl_hash")
-    one = Window.partitionBy("_tl_id", "_tl_text").orderBy("_tl_text")
+    # keys that are never null, so that rows are dealt once for the join and for the choice among equal ones
+    key = lambda c: [F.col(c).isNull().alias("_tl_none"), F.coalesce(F.col(c), F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("_tl_id")]
+    first = F.min(F.struct(*key("doc_id"), F.col("text_hash").alias("_tl_text")))
+    stays = groups.groupBy("group").agg(first.alias("x")).select("x.*")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.col("doc_id").alias("_tl_id"), F.xxhash64("text").alias("_tl_text"), F.struct(*columns).alias("_tl_row"))
-    kept = rows.join(stays, F.col("_tl_id").eqNullSafe(F.col("_tl_keep")) & (F.col("_tl_text") == F.col("_tl_hash")), "left_semi")
-    return kept.withColumn("_tl_n", F.row_number().over(one)).where("_tl_n = 1").select("_tl_row.*")
+    rows = docs.select(*key("doc_id"), F.xxhash64("text").alias("_tl_text"), F.struct(*columns).alias("_tl_row"))
+    at = ["_tl_none", "_tl_id", "_tl_text"]
+    one = F.row_number().over(Window.partitionBy(*at).orderBy("_tl_text"))
+    return rows.join(stays, at, "left_semi").withColumn("_tl_n", one).where("_tl_n = 1").select("_tl_row.*")
