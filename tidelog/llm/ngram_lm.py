@@ -26,13 +26,15 @@ from .common import LOWER, checkpointed, use_checkpoint_dir
 
 #: Tokens that a task counts or scores at once, and bigrams that a shard should hold.
 BLOCK_TOKENS, SHARD_ROWS = 1_000_000, 800_000
-#: Words in a file that scoring tasks map: 48 bytes each.
+#: Words in a file that scoring tasks map: 13 bytes each.
 FILE_WORDS = 4_000_000
 #: Documents of which the frequent words, whose bigrams are dealt out to several shards, are estimated. Results don't depend on them.
 HOT_SAMPLE = 2000
 START, END = np.uint64(1), np.uint64(2)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 STATS = ("c", "n1", "n2", "n3", "nc")
+#: A statistic is kept in one byte; words with one from here on have a row of whole numbers besides.
+LARGE = 255
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -57,6 +59,40 @@ def word_range(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def dealt(v: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, shards that are there, where each ends): bigrams by shard, in a shard by the first word."""
+    shard = shard_of(v, w, shards, hot)
+    there, counts = np.unique(shard, return_counts=True)
+    return np.lexsort((v, shard)), there, np.cumsum(counts)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers from 0, of equal lengths, in the bytes that they need, compressed."""
+    parts = [len(columns[0]).to_bytes(8, "little")]
+    for c in columns:
+        small = np.ascontiguousarray(_small(c))
+        parts += [bytes([small.itemsize]), small.view(np.uint8).reshape(-1, small.itemsize).T.tobytes()]
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+    n, at, columns = int.from_bytes(raw[:8], "little"), 8, []
+    while at < len(raw):
+        size, at = raw[at], at + 1
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        columns.append(np.ascontiguousarray(planes.T).view(f"<u{size}").ravel())
+        at += n * size
+    return columns
+
+
+def _small(n: np.ndarray) -> np.ndarray:
+    """Numbers in as many bytes each as the largest needs: 1, 2, 4 or 8."""
+    most = int(n.max(initial=0))
+    return n.astype(next(f"<u{k}" for k in (1, 2, 4, 8) if most < 1 << 8 * k))
+
+
 class Block:
     """Documents read together: their words as numbers, their bigrams sorted by word number, and a digest that names the block."""
 
@@ -148,7 +184,7 @@ def _write(uri: str, name: str, array: np.ndarray) -> None:
     store, base = _store(uri)
     part = f"{base}/_{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
-        out.write(np.ascontiguousarray(array).data.cast("B"))
+        out.write(np.ascontiguousarray(array).tobytes())
     store.move(part, f"{base}/{name}")
 
 
@@ -173,16 +209,13 @@ def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
 
 # --- training -------------------------------------------------------------------------------
 
-_CHUNK = "shard int, block long, v array<long>, w array<long>, n array<long>"
-#: What shards give: statistics of words, for a range of hashes (kind 0), or counts that a block asked for (kind 1).
-_GIVEN = "kind int, key long, part int, h array<long>, " + ", ".join(f"{s} array<long>" for s in STATS) + ", pairs array<long>, counts binary"
+#: first: the first words in order, as differences, and how many bigrams each has; second: the second words and counts.
+_CHUNK = "shard int, block long, first binary, second binary"
+#: What shards give: statistics of words, for a range of hashes (kind 0), or counts that a block asked for (kind 1), both packed.
+_GIVEN = "kind int, key long, part int, pairs array<long>, body binary"
 _SUMS = ("p1", "p2", "p3", "p4", "w1", "w2", "w3", "w4", "w_all", "distinct_pairs", "vocabulary", "train_tokens", "train_docs")
 
 
-def _lists(values: np.ndarray, ends: np.ndarray, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, kind))
-
-
 def _by_shard(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, shards that are there, where each ends)."""
     order = np.argsort(shard, kind="stable")
@@ -210,12 +243,6 @@ def frequent_words(docs: DataFrame, shards: int, rows: int) -> list[int]:
     return sorted(r["h"] & (2**64 - 1) for r in counted.where(F.col("n") > total / (4 * shards)).collect())
 
 
-def _small(n: np.ndarray) -> bytes:
-    """Counts in as many bytes each as the largest needs: 1, 2, 4 or 8."""
-    most = int(n.max(initial=0))
-    return n.astype(next(f"<u{k}" for k in (1, 2, 4, 8) if most < 1 << 8 * k)).tobytes()
-
-
 def _counts(raw: np.ndarray, rows: int) -> np.ndarray:
     return raw.view(f"<u{len(raw) // rows}") if rows else np.zeros(0, np.uint8)
 
@@ -227,10 +254,6 @@ def added(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def _flat(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(name).chunks] or [np.zeros(0, kind)]).view(kind)
-
-
 def _chunks(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
     """A row for each block of docs (text, learns) and shard: the block's bigrams there, and how often learnt documents have them."""
 
@@ -238,9 +261,14 @@ def _chunks(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
         v, w, _, n = block.pairs()
         h = block.hashes()
         v, w = h[v], h[w]
-        order, there, ends = _by_shard(shard_of(v, w, shards, hot))
-        cells = [_lists(x[order].view(np.int64), ends, pa.int64()) for x in (v, w, n)]
-        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(np.full(len(there), block.name())), *cells], ["shard", "block", "v", "w", "n"])
+        order, there, ends = dealt(v, w, shards, hot)
+        first, second = [], []
+        for rows in np.split(order, ends[:-1]):
+            own, runs = np.unique(v[rows], return_counts=True)
+            first.append(pack(np.diff(own, prepend=np.uint64(0)), runs))
+            second.append(pack(w[rows], n[rows]))
+        cells = [pa.array(there.astype(np.int32)), pa.array(np.full(len(there), block.name())), pa.array(first, pa.binary()), pa.array(second, pa.binary())]
+        return pa.RecordBatch.from_arrays(cells, ["shard", "block", "first", "second"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
@@ -256,42 +284,50 @@ def _chunks(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
     return docs.select("text", "learns").mapInArrow(count, _CHUNK)
 
 
-def _given(rows: int, columns: dict) -> pa.Table:
-    """Rows of _GIVEN; columns that are left out are null."""
-    names = ["kind", "key", "part", "h", *STATS, "pairs", "counts"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * (len(STATS) + 2), pa.binary()]
-    return pa.table({c: columns[c] if c in columns else pa.nulls(rows, k) for c, k in zip(names, kinds, strict=True)})
+def _bigrams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(v, w, n, where each chunk ends) of a shard's chunks."""
+    v, w, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for first, second in zip(table.column("first"), table.column("second"), strict=True):
+        steps, runs = unpack(first.as_py())
+        words, counts = unpack(second.as_py())
+        v.append(np.repeat(np.cumsum(steps, dtype=np.uint64), runs))
+        w.append(words.astype(np.uint64))
+        n.append(counts.astype(np.int64))
+    return np.concatenate(v), np.concatenate(w), np.concatenate(n), np.cumsum([len(x) for x in w[1:]])
+
 
+def _given(kind: int, key: pa.Array, part: pa.Array, pairs: list, bodies: list[bytes]) -> pa.Table:
+    cells = [pa.array(np.full(len(bodies), kind, np.int32)), key, part, pa.array(pairs, pa.list_(pa.int64())), pa.array(bodies, pa.binary())]
+    return pa.table(cells, ["kind", "key", "part", "pairs", "body"])
 
-def _answers(table: pa.Table, counts: np.ndarray) -> pa.Table:
+
+def _answers(table: pa.Table, counts: np.ndarray, ends: np.ndarray) -> pa.Table:
     """The counts of a shard's chunks, for the blocks that sent them."""
-    ends = np.cumsum(np.concatenate([np.asarray(c.value_lengths()) for c in table.column("v").chunks])) if table.num_rows else np.zeros(0, np.int64)
-    cells = [_small(counts[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-    n = table.num_rows
-    sizes = np.diff(np.concatenate([[0], ends]))
-    return _given(n, {"kind": pa.array(np.ones(n, np.int32)), "key": table.column("block"), "part": table.column("shard"), "h": _lists(sizes, np.arange(1, n + 1), pa.int64()), "counts": pa.array(cells, pa.binary())})
+    bodies = [pack(c) for c in np.split(counts, ends[:-1])] if len(ends) else []
+    return _given(1, table.column("block").combine_chunks(), table.column("shard").combine_chunks(), [[]] * len(bodies), bodies)
 
 
 def _finisher(uri: str):
     """A function of what meets for a range of words, or for a block: writes its files and gives one row of sums."""
 
     def words(table: pa.Table, part: int) -> list[int]:
-        key, at = np.unique(_flat(table, "h", np.uint64), return_inverse=True)
-        stats = {s: added(at, _flat(table, s, np.int64), len(key)) for s in STATS}
-        _write(uri, f"range-{part}.keys", key)
-        _write(uri, f"range-{part}.stats", np.stack([stats[s] for s in STATS], 1))
+        columns = [unpack(b.as_py()) for b in table.column("body")]
+        key, at = np.unique(np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in columns]), return_inverse=True)
+        stats = {s: added(at, np.concatenate([c[1 + i] for c in columns]).astype(np.int64), len(key)) for i, s in enumerate(STATS)}
+        every = np.stack([stats[s] for s in STATS], 1)
+        large = (every >= LARGE).any(1)
+        _write(f"{uri}/ranges", f"{part}.keys", key)
+        _write(f"{uri}/ranges", f"{part}.stats", np.minimum(every, LARGE).astype(np.uint8))
+        _write(f"{uri}/ranges", f"{part}.large", np.column_stack([key[large].view(np.int64), every[large]]))
         nc = stats["nc"]
-        pairs = _flat(table, "pairs", np.int64).reshape(-1, 4).sum(0).tolist()
+        pairs = np.array([x for x in table.column("pairs").to_pylist() if x], np.int64).reshape(-1, 4).sum(0).tolist()
         starts = int(stats["c"][key == START].sum())
         return [*pairs, *(int((nc == k).sum()) for k in (1, 2, 3, 4)), int((nc > 0).sum()), int(nc.sum()), int((nc > 0).sum()), int(stats["c"].sum()), starts]
 
     def block(table: pa.Table, name: int) -> list[int]:
         # blocks of the same texts have one name and the same answers
-        parts = dict(zip(table.column("part").to_pylist(), table.column("counts").to_pylist(), strict=True))
-        sizes = table.column("h").to_pylist()
-        lengths = dict(zip(table.column("part").to_pylist(), [x[0] for x in sizes], strict=True))
-        counts = [_counts(np.frombuffer(parts[k], np.uint8), lengths[k]).astype(np.uint64) for k in sorted(parts)]
-        _write(uri, f"block-{name}", np.frombuffer(_small(np.concatenate(counts)), np.uint8))
+        parts = dict(zip(table.column("part").to_pylist(), table.column("body").to_pylist(), strict=True))
+        _write(uri, f"block-{name}", _small(np.concatenate([unpack(parts[k])[0].astype(np.uint64) for k in sorted(parts)])))
         return [0] * len(_SUMS)
 
     def finish(table: pa.Table) -> pa.Table:
@@ -323,32 +359,28 @@ def train(docs: DataFrame) -> Model:
     shards = max(4, -(-size // (7 * SHARD_ROWS)))
     uri = f"{spark.sparkContext.getCheckpointDir()}/ngrams-{uuid.uuid4().hex}"
     store, base = _store(uri if "://" in uri or uri.startswith(("/", "file:")) else f"/{uri}")
-    store.create_dir(base)
+    store.create_dir(f"{base}/ranges")
     uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
     hot_list = frequent_words(docs.where("learns"), shards, rows)
 
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        v, w = _flat(table, "v", np.uint64), _flat(table, "w", np.uint64)
+        v, w, n, ends = _bigrams(table)
         key, first, inverse = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
-        n = added(inverse, _flat(table, "n", np.int64), len(key))
-        answers = _answers(table, n[inverse])
+        n = added(inverse, n, len(key))
+        answers = _answers(table, n[inverse], ends)
         learnt = n > 0
         key, n, v, w = key[learnt], n[learnt], v[first[learnt]], w[first[learnt]]
         _write(uri, f"pairs-{shard}.keys", key)
-        _write(uri, f"pairs-{shard}.counts", np.frombuffer(_small(n), np.uint8))
-        firsts, at = np.unique(v, return_inverse=True)
-        made = {"c": added(at, n, len(firsts))}
-        for k in (1, 2, 3):
-            made[f"n{k}"] = np.bincount(at[n == k if k < 3 else n >= 3], minlength=len(firsts))
-        seconds, follows = np.unique(w, return_counts=True)
-        h = np.concatenate([firsts, seconds])
-        zero = lambda like: np.zeros(len(like), np.int64)
-        stats = {s: np.concatenate([made.get(s, zero(firsts)), follows if s == "nc" else zero(seconds)]) for s in STATS}
-        order, there, ends = _by_shard(word_range(h, shards))
-        pairs = [[int((n == k).sum()) for k in (1, 2, 3, 4)] if i == 0 else [0] * 4 for i in range(len(there))]
-        words = {"kind": pa.array(np.zeros(len(there), np.int32)), "key": pa.array(there), "h": _lists(h[order].view(np.int64), ends, pa.int64()), "pairs": pa.array(pairs, pa.list_(pa.int64()))}
-        return pa.concat_tables([_given(len(there), words | {s: _lists(stats[s][order].astype(np.int64), ends, pa.int64()) for s in STATS}), answers])
+        _write(uri, f"pairs-{shard}.counts", _small(n))
+        key, at = np.unique(np.concatenate([v, w]), return_inverse=True)
+        at_v, at_w = np.split(at, 2)
+        stats = [added(at_v, n, len(key)), *(np.bincount(at_v[n == k if k < 3 else n >= 3], minlength=len(key)) for k in (1, 2, 3)), np.bincount(at_w, minlength=len(key))]
+        there, counts = np.unique(word_range(key, shards), return_counts=True)  # key is sorted, and so are the ranges
+        ends = np.cumsum(counts)
+        bodies = [pack(np.diff(key[a:b], prepend=np.uint64(0)), *(x[a:b] for x in stats)) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        pairs = [[int((n == k).sum()) for k in (1, 2, 3, 4)] if i == 0 else [] for i in range(len(there))]
+        return pa.concat_tables([_given(0, pa.array(there), pa.array(np.full(len(there), shard, np.int32)), pairs, bodies), answers])
 
     s = _finished(_chunks(docs, shards, np.array(hot_list, np.uint64)).groupBy("shard").applyInArrow(merge, _GIVEN), uri)
     model = Model(uri, shards, hot_list, s[:4], s[4:9], s[9], s[10], s[11], s[12])
@@ -365,12 +397,12 @@ def _gather_words(spark, model: Model) -> None:
         store, base = _store(uri)
         for batch in batches:
             for file in batch.column("id").to_pylist():
-                for end in ("keys", "stats"):
+                for end in ("keys", "stats", "large"):
                     part = f"{base}/_words-{file}.{uuid.uuid4().hex}"
                     with store.open_output_stream(part) as out:
                         for k in range(-(-file * shards // files), -(-(file + 1) * shards // files)):
                             try:
-                                source = store.open_input_stream(f"{base}/range-{k}.{end}")
+                                source = store.open_input_stream(f"{base}/ranges/{k}.{end}")
                             except FileNotFoundError:  # a range that no word fell into
                                 continue
                             with source:
@@ -380,6 +412,8 @@ def _gather_words(spark, model: Model) -> None:
             yield batch
 
     spark.range(files).repartition(min(files, 1000)).mapInArrow(gather, "id long").count()
+    store, base = _store(uri)
+    store.delete_dir(f"{base}/ranges")
 
 
 def ask(docs: DataFrame, model: Model) -> None:
@@ -388,8 +422,8 @@ def ask(docs: DataFrame, model: Model) -> None:
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        asked = pair_hash(_flat(table, "v", np.uint64), _flat(table, "w", np.uint64))
-        return _answers(table, _shard_counts(uri, shard, asked))
+        v, w, _, ends = _bigrams(table)
+        return _answers(table, _shard_counts(uri, shard, pair_hash(v, w)), ends)
 
     chunks = _chunks(docs.select("text", F.lit(False).alias("learns")), model.shards, np.array(model.hot, np.uint64))
     _finished(chunks.groupBy("shard").applyInArrow(answer, _GIVEN), uri)
@@ -421,26 +455,30 @@ class Lookup:
 
     def __init__(self, model: Model):
         self.model, self.hot = model, np.array(model.hot, np.uint64)
-        self.files: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.files: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def _words_file(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _words_file(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if k not in self.files:
-            self.files[k] = _mapped(self.model.uri, f"words-{k}.keys", np.uint64), _mapped(self.model.uri, f"words-{k}.stats", np.int64).reshape(-1, len(STATS))
+            stats, large = (_mapped(self.model.uri, f"words-{k}.{end}", kind) for end, kind in (("stats", np.uint8), ("large", np.int64)))
+            self.files[k] = _mapped(self.model.uri, f"words-{k}.keys", np.uint64), stats.reshape(-1, len(STATS)), large.reshape(-1, 1 + len(STATS))
         return self.files[k]
 
     def words(self, h: np.ndarray) -> dict[str, np.ndarray]:
         out = np.zeros((len(h), len(STATS)), np.int64)
         order, there, ends = _by_shard(word_range(h, self.model.shards) * self.model.word_files // self.model.shards)
         for k, rows in zip(there.tolist(), np.split(order, ends[:-1]), strict=True):
-            keys, stats = self._words_file(k)
+            keys, stats, large = self._words_file(k)
             rows = rows[np.argsort(h[rows])]
             at, found = _find(keys, h[rows])
             out[rows[found]] = stats[at[found]]
+            full = rows[found][(stats[at[found]] == LARGE).any(1)]
+            if len(full):
+                out[full] = large[np.searchsorted(large[:, 0].view(np.uint64), h[full]), 1:]
         return {s: out[:, i] for i, s in enumerate(STATS)}
 
     def pairs(self, block: Block, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Counts of the block's bigrams: from its file, or from the shards if it was not asked for as it stands here, as where a scan is split in another way."""
-        order, there, ends = _by_shard(shard_of(v, w, self.model.shards, self.hot))
+        order, there, ends = dealt(v, w, self.model.shards, self.hot)
         out = np.zeros(len(v), np.int64)
         try:
             out[order] = _counts(_mapped(self.model.uri, f"block-{block.name()}", np.uint8), len(v))
