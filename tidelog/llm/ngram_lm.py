@@ -327,7 +327,8 @@ def _finisher(uri: str):
     def block(table: pa.Table, name: int) -> list[int]:
         # blocks of the same texts have one name and the same answers
         parts = dict(zip(table.column("part").to_pylist(), table.column("body").to_pylist(), strict=True))
-        _write(uri, f"block-{name}", _small(np.concatenate([unpack(parts[k])[0].astype(np.uint64) for k in sorted(parts)])))
+        counts = np.concatenate([unpack(parts[k])[0].astype(np.uint64) for k in sorted(parts)])
+        _write(uri, f"block-{name}", np.frombuffer(pack(counts), np.uint8))
         return [0] * len(_SUMS)
 
     def finish(table: pa.Table) -> pa.Table:
@@ -371,8 +372,9 @@ def train(docs: DataFrame) -> Model:
         answers = _answers(table, n[inverse], ends)
         learnt = n > 0
         key, n, v, w = key[learnt], n[learnt], v[first[learnt]], w[first[learnt]]
-        _write(uri, f"pairs-{shard}.keys", key)
-        _write(uri, f"pairs-{shard}.counts", _small(n))
+        _write(uri, f"pairs-{shard}.once", key[n == 1])
+        _write(uri, f"pairs-{shard}.keys", key[n > 1])
+        _write(uri, f"pairs-{shard}.counts", _small(n[n > 1]))
         key, at = np.unique(np.concatenate([v, w]), return_inverse=True)
         at_v, at_w = np.split(at, 2)
         stats = [added(at_v, n, len(key)), *(np.bincount(at_v[n == k if k < 3 else n >= 3], minlength=len(key)) for k in (1, 2, 3)), np.bincount(at_w, minlength=len(key))]
@@ -438,13 +440,14 @@ def delete(model: Model) -> None:
 
 
 def _shard_counts(uri: str, shard: int, wanted: np.ndarray) -> np.ndarray:
-    """Counts of bigrams by hash, from the mapped arrays of their shard."""
+    """Counts of bigrams by hash, from the mapped arrays of their shard: those seen once, and the others with their counts."""
     out = np.zeros(len(wanted), np.int64)
     try:
-        keys = _mapped(uri, f"pairs-{shard}.keys", np.uint64)
+        once, keys = (_mapped(uri, f"pairs-{shard}.{end}", np.uint64) for end in ("once", "keys"))
     except FileNotFoundError:  # a shard that no bigram fell into
         return out
     order = np.argsort(wanted)
+    out[order[_find(once, wanted[order])[1]]] = 1
     at, found = _find(keys, wanted[order])
     out[order[found]] = _counts(_mapped(uri, f"pairs-{shard}.counts", np.uint8), len(keys))[at[found]]
     return out
@@ -481,7 +484,7 @@ class Lookup:
         order, there, ends = dealt(v, w, self.model.shards, self.hot)
         out = np.zeros(len(v), np.int64)
         try:
-            out[order] = _counts(_mapped(self.model.uri, f"block-{block.name()}", np.uint8), len(v))
+            out[order] = unpack(_mapped(self.model.uri, f"block-{block.name()}", np.uint8).tobytes())[0]
         except FileNotFoundError:
             for shard, rows in zip(there.tolist(), np.split(order, ends[:-1]), strict=True):
                 out[rows] = _shard_counts(self.model.uri, shard, pair_hash(v[rows], w[rows]))
