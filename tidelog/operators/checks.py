@@ -48,16 +48,39 @@ def is_own_file(name: Column) -> Column:
     return name.isin("log.index", "log.index.tmp", "server-uuid", "server-cert.pem", "server-key.pem")
 
 
-def reconcile(index: DataFrame, listing: DataFrame) -> DataFrame:
-    """(name, state) of each file in the index or in the folder: ok, missing, remnant (older than the index's first) or newer.
+#: States of reconcile() that refuse the folder, and those whose files may be removed.
+REFUSALS, REMNANTS = ("missing", "not_a_name", "other_base", "inside", "several_newer", "no_index"), ("older", "newer")
 
-    Both have name and file_no.
+
+def reconcile(index: DataFrame, listing: DataFrame, index_existed: bool = True) -> DataFrame:
+    """(name, state) of each file in the index or in the folder, but for the storage's own. Both have name,
+    the index also ordinal, its lines' order, where it has several bases.
+
+    ok: in both; missing: in the index only. A file of the folder that the index lacks is not_a_name if its name is
+    none of a log; older, with the first entry's base and a smaller number; newer, with the last entry's base and a larger
+    one, or several_newer if there are more of them; other_base with neither base; else inside. An index without
+    entries makes all of them newer, a missing one refuses them (no_index). Remnants may be removed if there is no refusal.
     """
-    i, d = index.select("name", F.col("file_no").alias("index_no")), listing.select("name", F.col("file_no").alias("dir_no"))
-    first = index.agg(F.min("file_no").alias("first_no"))
-    both = i.join(d, "name", "full_outer").join(F.broadcast(first), how="cross")
-    state = F.when(F.col("index_no").isNull() & (F.col("dir_no") < F.col("first_no")), "remnant").when(F.col("index_no").isNull(), "newer").when(F.col("dir_no").isNull(), "missing").otherwise("ok")
-    return both.select("name", state.alias("state"))
+    parsed = lambda df: df.select("name", F.regexp_extract("name", r"^([^/]+)\.([0-9]{6,})$", 1).alias("base"), F.expr(r"try_cast(regexp_extract(name, '^[^/]+\\.([0-9]{6,})$', 1) AS DECIMAL(38, 0))").alias("no"))
+    entries = parsed(index)
+    ordered = entries.join(index.select("name", "ordinal"), "name") if "ordinal" in index.columns else entries.withColumn("ordinal", F.col("no"))
+    # one row: the ends of the index
+    ends = ordered.agg(*(f(c, "ordinal").alias(f"{end}_{c}") for end, f in (("first", F.min_by), ("last", F.max_by)) for c in ("base", "no")), F.count(F.lit(1)).alias("entries"))
+    both = entries.withColumn("indexed", F.lit(True)).join(parsed(listing.where(~is_own_file(F.col("name")))).select("name", F.col("base").alias("b"), F.col("no").alias("n")), "name", "full_outer")
+    empty = F.lit("newer" if index_existed else "no_index")
+    extra = (
+        F.when((F.col("b") == "") | F.col("n").isNull(), "not_a_name")
+        .when(F.col("entries") == 0, empty)
+        .when((F.col("b") == F.col("last_base")) & (F.col("n") > F.col("last_no")), "newer")
+        .when((F.col("b") == F.col("first_base")) & (F.col("n") < F.col("first_no")), "older")
+        .when((F.col("b") != F.col("last_base")) & (F.col("b") != F.col("first_base")), "other_base")
+        .otherwise("inside")
+    )
+    state = F.when(F.col("indexed") & F.col("b").isNull(), "missing").when(F.col("indexed"), "ok").otherwise(extra)
+    stated = both.join(F.broadcast(ends), how="cross").select("name", state.alias("state"))
+    newer = stated.where("state = 'newer'").agg(F.count(F.lit(1)).alias("_newer"))
+    several = (F.col("state") == "newer") & (F.col("_newer") > 1)
+    return stated.join(F.broadcast(newer), how="cross").select("name", F.when(several, "several_newer").otherwise(F.col("state")).alias("state"))
 
 
 def rebuild_checks(files: DataFrame) -> DataFrame:
@@ -109,10 +132,24 @@ def cache_warning(cache: Column, memory: Column) -> Column:
     return F.when(cache > memory, F.concat(F.lit("cache of "), cache, F.lit(" bytes exceeds memory of "), memory))
 
 
-def stream_end_class(reason: Column) -> Column:
-    """struct(exit_code, reconnect, kind) of why a stream ended."""
-    transient, clean = reason.isin("timeout", "connection_lost", "server_gone"), reason.isin("stopped", "end_of_stream")
-    return F.struct(F.when(clean, 0).otherwise(1).alias("exit_code"), transient.alias("reconnect"), F.when(clean, "clean").when(transient, "transient").otherwise("permanent").alias("kind"))
+#: Exit codes, and the source's error after which asking again is refused the same way.
+SUCCESS, SOURCE_ERROR, STREAM_LOST = 0, 2, 3
+HISTORY_GONE = 1236
+
+
+def stream_end_class(reason: Column, error_code: Column) -> Column:
+    """struct(exit_code, reconnect, kind) of why a stream ended.
+
+    Stopped ones (by a signal or by the sink) end well. Lost ones (timeout, connection_closed, end_of_stream) are taken
+    up again, as are errors of the source other than HISTORY_GONE. Heartbeat failures and malformed streams end the run, as does a reason that is unknown.
+    """
+    stopped, lost = reason.isin("stopped", "stopped_by_sink"), reason.isin("timeout", "connection_closed", "end_of_stream")
+    error = reason == "source_error"
+    return F.struct(
+        F.when(stopped, SUCCESS).when(lost, STREAM_LOST).otherwise(SOURCE_ERROR).alias("exit_code"),
+        (lost | (error & ~error_code.eqNullSafe(F.lit(HISTORY_GONE)))).alias("reconnect"),
+        F.when(stopped, "stopped").when(lost, "stream lost").when(error, "source error").when(reason == "heartbeat_failure", "heartbeat failure").when(reason == "malformed_stream", "malformed stream").otherwise("unrecognized").alias("kind"),
+    )
 
 
 def event_class(event_type: Column, service: list[str], transaction: list[str]) -> Column:

@@ -56,16 +56,28 @@ def idle_heartbeats(events: DataFrame, period: int) -> DataFrame:
     return gap.select("file_no", F.col("end_pos").alias("pos"), due.alias("due"))
 
 
-def start_decision(requests: DataFrame, previous: DataFrame, own_source: int) -> DataFrame:
-    """How a request is answered: the first of the refusals that holds, else ok.
+def start_decision(requests: DataFrame, previous: DataFrame, catalog: DataFrame, own_source: int) -> DataFrame:
+    """(address, decision, start_no): how a request is answered, and from which file.
 
-    requests: (address, ok_text boolean, source, start, end), a row an interval. A request is
-    bad if its text does not parse, own if it names the relay's own source, purged if
-    it lacks transactions that precede the oldest file of the source.
+    requests: (address, ok_text boolean, source, start, end), a row an interval of a merged set; a request with an
+    empty set has a row whose source is null. In this order a request is bad_set if its text does not parse, own_uuid if it names
+    the relay's own source, no_history without a file, purged if no file's previous set is contained in its
+    own (E2), else ok: it starts from the newest file whose previous set is.
+
+    Intervals that are contained are counted for each request and file and compared with how many a
+    file has; previous sets of no request's sources are never paired with it.
     """
-    purged = previous.groupBy("source").agg(F.min("end").alias("_purged"))
-    by = requests.join(purged, "source", "left").groupBy("address").agg(F.bool_and("ok_text").alias("ok"), F.bool_or(F.col("source") == own_source).alias("own"), F.bool_or((F.col("start") > 1) | (F.col("end") < F.col("_purged"))).alias("lacks"))
-    return by.select("address", F.when(~F.col("ok"), "bad_set").when(F.coalesce("own", F.lit(False)), "own_uuid").when(F.coalesce("lacks", F.lit(False)), "purged").otherwise("ok").alias("decision"))
+    asked = requests.groupBy("address").agg(F.bool_and("ok_text").alias("ok"), F.coalesce(F.bool_or(F.col("source") == own_source), F.lit(False)).alias("own"))
+    held = requests.select("address", F.col("source").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    contained = previous.join(held, (F.col("source") == F.col("_s")) & (F.col("start") >= F.col("_a")) & (F.col("end") <= F.col("_b")))
+    has = contained.groupBy("address", "file_no").agg(F.count(F.lit(1)).alias("_has"))
+    needs = catalog.select("file_no").join(previous.groupBy("file_no").agg(F.count(F.lit(1)).alias("_needs")), "file_no", "left")
+    enough = has.join(needs, "file_no").where("_has = _needs").groupBy("address").agg(F.max("file_no").alias("_from"))
+    # one row: the newest file that needs nothing, and whether there is any file
+    free = needs.agg(F.max(F.when(F.col("_needs").isNull(), F.col("file_no"))).alias("_free"), F.count(F.lit(1)).alias("_files"))
+    both = asked.join(enough, "address", "left").join(F.broadcast(free), how="cross").withColumn("start_no", F.greatest("_from", "_free"))
+    decision = F.when(~F.col("ok"), "bad_set").when(F.col("own"), "own_uuid").when(F.col("_files") == 0, "no_history").when(F.col("start_no").isNull(), "purged").otherwise("ok")
+    return both.withColumn("decision", decision).select("address", "decision", F.when(F.col("decision") == "ok", F.col("start_no")).alias("start_no"))
 
 
 def rewrite_description(rows: DataFrame, zero_created) -> DataFrame:

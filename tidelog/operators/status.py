@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATES = {"connected": 0, "catching_up": 1, "streaming": 2}
+RELAY_STATES = {"starting": 0, "serving": 1, "reconnecting": 2}
 BAD_LAG, WARN_LAG, BAD_FILL, WARN_FILL = 60, 5, 95, 80
 
 
@@ -14,21 +15,25 @@ def behind_seconds(clock: Column, tsec: Column, idle: Column) -> Column:
     return F.when(idle, F.lit(0).cast("long")).when(clock.isNull() | (tsec == 0), F.lit(None).cast("long")).otherwise(F.greatest(clock - tsec, F.lit(0).cast("long")))
 
 
-def replica_status(replicas: DataFrame, offsets: DataFrame, clock: int, newest_file: str, newest_pos: int) -> DataFrame:
-    """each subscriber's state, bytes and seconds behind. offsets: (file, before)."""
-    end = offsets.where(F.col("file") == newest_file).agg(F.first("before")).first()[0]
-    known = replicas.join(offsets.select("file", "before"), "file", "left")
-    distance = F.lit(end) + newest_pos - F.col("before") - F.col("pos")
+def replica_status(replicas: DataFrame, offsets: DataFrame, clock: int, published: DataFrame) -> DataFrame:
+    """each subscriber's state, bytes and seconds behind. offsets: (file, before); published: (file, pos), one row.
+
+    A subscriber that does not dump is connected, and nothing is known of its lag or distance. One that dumps
+    is streaming where it idles, else catching up; its distance runs to the published position and is unknown if a file is, or if it is ahead.
+    """
+    end = published.join(offsets, "file").select((F.col("before") + F.col("pos")).alias("_end"))
+    known = replicas.join(offsets.select("file", "before"), "file", "left").join(F.broadcast(end), how="left")
+    distance = F.col("_end") - F.col("before") - F.col("pos")
     lag = behind_seconds(F.lit(clock).cast("long"), F.col("tsec"), F.col("idle"))
-    out = known.withColumn("behind_bytes", F.when(distance >= 0, distance).cast("long")).withColumn("behind_seconds", lag)
-    state = F.when(F.col("idle"), "streaming").when(F.col("behind_bytes") > 0, "catching_up").otherwise("connected")
-    return out.withColumn("state", state).withColumn("state_code", state_code(F.col("state"))).drop("before")
+    out = known.withColumn("behind_bytes", F.when(F.col("dumping") & (distance >= 0), distance).cast("long")).withColumn("behind_seconds", F.when(F.col("dumping"), lag))
+    state = F.when(~F.col("dumping"), "connected").when(F.col("idle"), "streaming").otherwise("catching_up")
+    return out.withColumn("state", state).withColumn("state_code", state_code(F.col("state"))).drop("before", "_end")
 
 
-def state_code(state: Column) -> Column:
-    """C27."""
+def state_code(state: Column, states: dict[str, int] = STATES) -> Column:
+    """The number of a subscriber's state, or of the relay's with RELAY_STATES."""
     out = F.lit(None).cast("int")
-    for name, code in STATES.items():
+    for name, code in states.items():
         out = F.when(state == name, code).otherwise(out)
     return out
 

@@ -112,7 +112,7 @@ def i3_by_source(spark, sf_dir):
   SELECT file_no, file, size FROM file_catalog WHERE file_no NOT IN (SELECT file_no FROM lacking) ORDER BY file_no DESC LIMIT 1"""
 )
 def e2_start_file(spark, sf_dir):
-    events = t.change_events(spark, sf_dir)
+    events = t.change_events(spark, sf_dir, keep=True)
     return cat.start_file(t.file_catalog(events), t.previous_sets(events), t.held_set(events)).select("file_no", "file", "size")
 
 
@@ -139,7 +139,7 @@ def f4_storage_totals(spark, sf_dir):
   FROM pairs LEFT JOIN off a ON a.file = from_file LEFT JOIN off b ON b.file = to_file"""
 )
 def e7_byte_distance(spark, sf_dir):
-    events = t.change_events(spark, sf_dir)
+    events = t.change_events(spark, sf_dir, keep=True)
     catalog = t.file_catalog(events)
     newest = catalog.where("in_use").select(F.col("file").alias("to_file"), F.col("size").alias("to_pos"))
     unknown = F.when(F.col("source") % 7 == 0, "log.999999").otherwise(F.col("file"))
@@ -166,6 +166,10 @@ FLAGGED = """flagged AS (SELECT *, coalesce(last_value(d IGNORE NULLS) OVER (PAR
   SELECT e.*, CASE WHEN e.event_type IN ('signup', 'error') THEN h.source IS NOT NULL END AS d FROM change_events e LEFT JOIN held h ON h.source = e.source AND e.gno >= h.start AND e.gno < h."end"))"""
 
 
+START_FILE = """lacking AS (SELECT DISTINCT p.file_no FROM previous_sets p WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.source = p.source AND p.start >= h.start AND p."end" <= h."end")),
+  start_ AS (SELECT max(file_no) AS n FROM file_catalog WHERE file_no NOT IN (SELECT file_no FROM lacking))"""
+
+
 @query(f"+ {FLAGGED} SELECT event_id, file_no, pos, skipped FROM flagged")
 def g7_skip_state(spark, sf_dir):
     events = t.change_events(spark, sf_dir)
@@ -179,14 +183,17 @@ def f10_dump_totals(spark, sf_dir):
 
 
 @query(
-    f"""+ {FLAGGED}, runs AS (SELECT *, skipped AND NOT coalesce(lead(skipped) OVER (PARTITION BY file_no ORDER BY pos), false) AS last_one FROM flagged WHERE file_no >= 2)
+    f"""+ {FLAGGED}, {START_FILE}, runs AS (SELECT *, skipped AND NOT coalesce(lead(skipped) OVER (PARTITION BY file_no ORDER BY pos), false) AS last_one FROM flagged WHERE file_no >= (SELECT n FROM start_))
   SELECT file_no, CASE WHEN skipped THEN end_pos ELSE pos END AS pos, CASE WHEN skipped THEN 'heartbeat' ELSE 'event' END AS kind, CASE WHEN NOT skipped THEN event_id END AS event_id,
     CASE WHEN skipped THEN end_pos ELSE pos END & 4294967295 AS pos32 FROM runs WHERE NOT skipped OR last_one
-  UNION ALL SELECT file_no, 4, 'rotate', NULL, 4 FROM file_catalog WHERE file_no >= 2"""
+  UNION ALL SELECT file_no, 4, 'rotate', NULL, 4 FROM file_catalog WHERE file_no >= (SELECT n FROM start_)"""
 )
 def b11_dump(spark, sf_dir):
-    events = t.change_events(spark, sf_dir)
-    return dmp.dump(dmp.skip_flags(events, t.held_set(events), DECIDING), t.file_catalog(events), 2)
+    """What is sent from the file on that e2 finds."""
+    events = t.change_events(spark, sf_dir, keep=True)
+    held, catalog = t.held_set(events), t.file_catalog(events)
+    first = cat.start_file(catalog, t.previous_sets(events), held).first()
+    return dmp.dump(dmp.skip_flags(events, held, DECIDING), catalog, first["file_no"] if first else 0)
 
 
 @query(
@@ -198,15 +205,28 @@ def j7_idle_heartbeats(spark, sf_dir):
 
 
 @query(
-    """+ requests AS (SELECT source % 10 AS r, source % 13 <> 5 AS ok_text, source, CASE WHEN source % 17 = 4 THEN 2 ELSE start END AS start, "end" + 100000 AS "end" FROM held),
-  purged AS (SELECT source, min("end") AS e FROM previous_sets GROUP BY source)
-  SELECT CAST(r AS BIGINT) AS address, CASE WHEN NOT bool_and(ok_text) THEN 'bad_set' WHEN bool_or(q.source = 7) THEN 'own_uuid' WHEN coalesce(bool_or(start > 1 OR "end" < e), false) THEN 'purged' ELSE 'ok' END AS decision
-  FROM requests q LEFT JOIN purged p ON p.source = q.source GROUP BY r"""
+    """+ left_over AS (SELECT file_no FROM file_catalog WHERE file_no > (SELECT max(file_no) // 5 FROM file_catalog)),
+  requests AS (SELECT source % 10 AS r, source % 13 <> 5 AS ok_text, source, CASE WHEN source % 17 = 4 THEN 2 ELSE start END AS start, CASE WHEN source % 10 IN (1, 2) THEN "end" + 1000000 ELSE "end" + 30 * (source % 10) END AS "end" FROM held
+    UNION ALL SELECT r, true, source, 1, 1000000 FROM (SELECT DISTINCT source % 10 AS r FROM held) a, (SELECT DISTINCT source FROM held) b WHERE r IN (3, 4) AND NOT (r = 4 AND source = 2) AND source % 10 <> r AND source <> 7
+    UNION ALL SELECT r, true, source, 1, 1000000 FROM (SELECT DISTINCT source % 10 AS r FROM held) a, (SELECT DISTINCT source FROM held) b WHERE r = 8 AND source % 10 <> 8),
+  lacking AS (SELECT DISTINCT a.r, p.file_no FROM (SELECT DISTINCT r FROM requests) a, previous_sets p WHERE NOT EXISTS (SELECT 1 FROM requests q WHERE q.r = a.r AND q.source = p.source AND q.start <= p.start AND q."end" >= p."end")),
+  starts AS (SELECT a.r, max(f.file_no) AS start_no FROM (SELECT DISTINCT r FROM requests) a, left_over f WHERE NOT EXISTS (SELECT 1 FROM lacking l WHERE l.r = a.r AND l.file_no = f.file_no) GROUP BY a.r),
+  decided AS (SELECT q.r, CASE WHEN NOT bool_and(ok_text) THEN 'bad_set' WHEN bool_or(q.source = 7) THEN 'own_uuid' WHEN any_value(s.start_no) IS NULL THEN 'purged' ELSE 'ok' END AS decision, any_value(s.start_no) AS start_no
+    FROM requests q LEFT JOIN starts s ON s.r = q.r GROUP BY q.r)
+  SELECT CAST(r AS BIGINT) AS address, decision, CASE WHEN decision = 'ok' THEN start_no END AS start_no FROM decided"""
 )
 def d11_start_decisions(spark, sf_dir):
-    events = t.change_events(spark, sf_dir)
-    requests = t.held_set(events).select((F.col("source") % 10).alias("address"), (F.col("source") % 13 != 5).alias("ok_text"), "source", F.when(F.col("source") % 17 == 4, 2).otherwise(F.col("start")).cast("long").alias("start"), (F.col("end") + 100000).alias("end"))
-    return dmp.start_decision(requests, t.previous_sets(events), own_source=7)
+    """Requests of ten addresses to a log whose oldest fifth is gone: some hold the sources of their address, some nearly all."""
+    events = t.change_events(spark, sf_dir, keep=True)
+    held, source, own = t.held_set(events), F.col("source"), F.col("source") % 10
+    newest = events.agg(F.max("file_no")).first()[0] or 0
+    left = t.file_catalog(events).where(F.col("file_no") > newest // 5)
+    few = held.select(own.alias("address"), (source % 13 != 5).alias("ok_text"), "source", F.when(source % 17 == 4, 2).otherwise(F.col("start")).cast("long").alias("start"), F.when(own.isin(1, 2), F.col("end") + 1_000_000).otherwise(F.col("end") + 30 * own).alias("end"))
+    # ten addresses, three of which hold nearly every source
+    addresses = held.select(own.alias("address")).distinct().where(F.col("address").isin(3, 4, 8))
+    most = held.select("source").join(F.broadcast(addresses), (source % 10 != F.col("address")) & ~((F.col("address") == 4) & (source == 2)) & ((F.col("address") == 8) | (source != 7)))
+    every = most.select("address", F.lit(True).alias("ok_text"), "source", F.lit(1).cast("long").alias("start"), F.lit(1_000_000).cast("long").alias("end"))
+    return dmp.start_decision(few.unionByName(every), t.previous_sets(events), left, own_source=7)
 
 
 @query("SELECT file_no, 33 & ~1 AS flags, CAST(CASE WHEN file_no % 2 = 0 THEN 0 ELSE created_at END AS BIGINT) AS created FROM file_catalog")

@@ -57,12 +57,21 @@ def d6_number_range(spark, sf_dir):
 
 
 @query(
-    """+ idx AS (SELECT file AS name, file_no FROM file_catalog WHERE file_no % 9 <> 4 AND file_no BETWEEN 3 AND 27), dir AS (SELECT file AS name, file_no FROM file_catalog WHERE file_no % 8 <> 5)
-  SELECT coalesce(i.name, d.name) AS name, CASE WHEN i.name IS NULL AND d.file_no < (SELECT min(file_no) FROM idx) THEN 'remnant' WHEN i.name IS NULL THEN 'newer' WHEN d.name IS NULL THEN 'missing' ELSE 'ok' END AS state FROM idx i FULL JOIN dir d ON i.name = d.name"""
+    """+ ends AS (SELECT min(file_no) + 2 AS first_no, max(file_no) - 1 AS last_no FROM file_catalog),
+  idx AS (SELECT file AS name, file_no FROM file_catalog, ends WHERE file_no BETWEEN first_no AND last_no AND (file_no % 9 <> 4 OR file_no IN (first_no, last_no))),
+  dir AS (SELECT file AS name, file_no FROM file_catalog WHERE file_no % 8 <> 5 UNION ALL SELECT 'old.' || lpad(CAST(file_no AS VARCHAR), 6, '0'), NULL FROM file_catalog WHERE file_no % 10 = 3 UNION ALL SELECT file || '.part', -1 FROM file_catalog WHERE file_no % 10 = 4),
+  both_ AS (SELECT coalesce(i.name, d.name) AS name, i.name IS NOT NULL AS indexed, d.name IS NOT NULL AS there, d.file_no FROM idx i FULL JOIN dir d ON i.name = d.name)
+  SELECT name, CASE WHEN indexed AND there THEN 'ok' WHEN indexed THEN 'missing' WHEN file_no = -1 THEN 'not_a_name' WHEN file_no IS NULL THEN 'other_base'
+    WHEN file_no > last_no AND (SELECT count(*) FROM both_ b, ends e WHERE NOT b.indexed AND b.file_no > e.last_no) > 1 THEN 'several_newer' WHEN file_no > last_no THEN 'newer' WHEN file_no < first_no THEN 'older' ELSE 'inside' END AS state FROM both_, ends"""
 )
 def e3_reconcile(spark, sf_dir):
-    files = t.file_catalog(t.change_events(spark, sf_dir)).select(F.col("file").alias("name"), "file_no")
-    return checks.reconcile(files.where("file_no % 9 <> 4 AND file_no BETWEEN 3 AND 27"), files.where("file_no % 8 <> 5"))
+    """An index that lacks the ends of the log and some files inside, a folder that lacks others and has some of another base or none."""
+    files = t.file_catalog(t.change_events(spark, sf_dir, keep=True)).select(F.col("file").alias("name"), "file_no")
+    low, high = files.agg(F.min("file_no") + 2, F.max("file_no") - 1).first()
+    index = files.where(F.col("file_no").between(low or 0, high or 0) & ((F.col("file_no") % 9 != 4) | F.col("file_no").isin(low or 0, high or 0)))
+    old = files.where("file_no % 10 = 3").select(F.concat(F.lit("old."), F.lpad(F.col("file_no").cast("string"), 6, "0")).alias("name"))
+    parts = files.where("file_no % 10 = 4").select(F.concat("name", F.lit(".part")).alias("name"))
+    return checks.reconcile(index, files.where("file_no % 8 <> 5").select("name").unionByName(old).unionByName(parts))
 
 
 @query(
@@ -82,12 +91,13 @@ def i4_duplicate_names(spark, sf_dir):
 
 
 @query(
-    """+ idx AS (SELECT file_no AS ordinal, file AS name FROM file_catalog), gone AS (SELECT file_no AS ordinal, CASE WHEN file_no = 3 THEN 'log.000099' ELSE file END AS name FROM file_catalog WHERE file_no <= 6)
+    """+ idx AS (SELECT file_no AS ordinal, file AS name FROM file_catalog), gone AS (SELECT file_no AS ordinal, CASE WHEN file_no % 7 = 3 THEN 'log.000099' ELSE file END AS name FROM file_catalog WHERE NOT in_use)
   SELECT g.ordinal, g.name AS purged, i.name AS indexed FROM gone g LEFT JOIN idx i ON i.ordinal = g.ordinal WHERE g.name IS DISTINCT FROM i.name"""
 )
 def e4_purge_mismatches(spark, sf_dir):
-    index = t.file_catalog(t.change_events(spark, sf_dir)).select(F.col("file_no").alias("ordinal"), F.col("file").alias("name"))
-    gone = index.where("ordinal <= 6").select("ordinal", F.when(F.col("ordinal") == 3, "log.000099").otherwise(F.col("name")).alias("name"))
+    files = t.file_catalog(t.change_events(spark, sf_dir, keep=True)).select(F.col("file_no").alias("ordinal"), F.col("file").alias("name"), "in_use")
+    index = files.drop("in_use")
+    gone = files.where("NOT in_use").select("ordinal", F.when(F.col("ordinal") % 7 == 3, "log.000099").otherwise(F.col("name")).alias("name"))
     return checks.purge_mismatches(gone, index)
 
 
@@ -116,12 +126,17 @@ def d16_cache_warning(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, CASE WHEN r IN ('stopped', 'end_of_stream') THEN 0 ELSE 1 END AS exit_code, r IN ('timeout', 'connection_lost', 'server_gone') AS reconnect, CASE WHEN r IN ('stopped', 'end_of_stream') THEN 'clean' WHEN r IN ('timeout', 'connection_lost', 'server_gone') THEN 'transient' ELSE 'permanent' END AS kind FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'stopped' WHEN 'view' THEN 'timeout' WHEN 'error' THEN 'bad_event' ELSE 'server_gone' END AS r FROM events)",
+    """WITH ends(k, reason, exit_code, again, kind) AS (VALUES (0, 'stopped', 0, false, 'stopped'), (1, 'stopped_by_sink', 0, false, 'stopped'), (2, 'timeout', 3, true, 'stream lost'), (3, 'connection_closed', 3, true, 'stream lost'),
+    (4, 'end_of_stream', 3, true, 'stream lost'), (5, 'source_error', 2, true, 'source error'), (6, 'heartbeat_failure', 2, false, 'heartbeat failure'), (7, 'malformed_stream', 2, false, 'malformed stream'), (8, 'else', 2, false, 'unrecognized'))
+  SELECT event_id, exit_code, again AND NOT (k = 5 AND user_id % 3 = 0) AS reconnect, kind FROM events JOIN ends ON event_id % 9 = k""",
     derived=False,
 )
 def d12_stream_ends(spark, sf_dir):
-    reason = F.when(F.col("event_type") == "click", "stopped").when(F.col("event_type") == "view", "timeout").when(F.col("event_type") == "error", "bad_event").otherwise("server_gone")
-    return t.table(spark, sf_dir, "events").select("event_id", checks.stream_end_class(reason).alias("x")).select("event_id", "x.*")
+    """Every event ends a stream, for a reason of its number; a third of the sources' errors say that the history is gone."""
+    reasons = ["stopped", "stopped_by_sink", "timeout", "connection_closed", "end_of_stream", "source_error", "heartbeat_failure", "malformed_stream", "else"]
+    reason = F.element_at(F.array(*map(F.lit, reasons)), (F.col("event_id") % 9 + 1).cast("int"))
+    code = F.when(F.col("user_id") % 3 == 0, 1236).when(F.col("user_id") % 3 == 1, 1045)
+    return t.table(spark, sf_dir, "events").select("event_id", checks.stream_end_class(reason, code).alias("x")).select("event_id", "x.*")
 
 
 CUTOFF = "(SELECT max(tsec) - 20 * 86400 FROM change_events)"
@@ -223,17 +238,20 @@ def j6_start_set(spark, sf_dir):
 
 
 STATUS = """off AS (SELECT file, CAST(coalesce(sum(size) OVER (ORDER BY file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM file_catalog),
-  newest AS (SELECT o.before + c.size AS at, c.last_at AS clock FROM file_catalog c JOIN off o ON o.file = c.file WHERE c.in_use),
-  lag_ AS (SELECT r.*, CASE WHEN n.at - o.before - r.pos >= 0 THEN n.at - o.before - r.pos END AS behind_bytes, CASE WHEN idle THEN 0 WHEN tsec = 0 THEN NULL ELSE greatest(n.clock - tsec, 0) END AS behind_seconds FROM replicas r LEFT JOIN off o ON o.file = r.file, newest n),
-  status AS (SELECT *, CASE WHEN idle THEN 'streaming' WHEN behind_bytes > 0 THEN 'catching_up' ELSE 'connected' END AS state FROM lag_)"""
+  newest AS (SELECT o.before + (SELECT max(end_pos) FROM change_events e WHERE e.file_no = c.file_no AND e.event_type <> 'view') AS at, c.last_at AS clock FROM file_catalog c JOIN off o ON o.file = c.file WHERE c.in_use),
+  status AS (SELECT r.*, CASE WHEN NOT dumping THEN 'connected' WHEN idle THEN 'streaming' ELSE 'catching_up' END AS state,
+    CASE WHEN dumping AND n.at - o.before - r.pos >= 0 THEN n.at - o.before - r.pos END AS behind_bytes,
+    CASE WHEN NOT dumping THEN NULL WHEN idle THEN 0 WHEN tsec = 0 THEN NULL ELSE greatest(n.clock - tsec, 0) END AS behind_seconds FROM replicas r LEFT JOIN off o ON o.file = r.file, newest n)"""
 STATE_CODE = "CASE state WHEN 'connected' THEN 0 WHEN 'catching_up' THEN 1 WHEN 'streaming' THEN 2 END"
 
 
 def _status(spark, sf_dir):
-    events = t.change_events(spark, sf_dir)
+    """Published is, as in a6, the end of the newest file's last event that is no view."""
+    events = t.change_events(spark, sf_dir, keep=True)
     catalog = t.file_catalog(events)
-    newest = catalog.where("in_use").first()
-    return status.replica_status(t.replicas(events), cat.with_offsets(catalog), newest["last_at"], newest["file"], newest["size"])
+    newest = catalog.where("in_use").select("file_no", "file", "last_at").first() or {"file_no": 0, "last_at": None}
+    published = events.where((F.col("file_no") == newest["file_no"]) & (F.col("event_type") != "view")).groupBy("file").agg(F.max("end_pos").alias("pos"))
+    return status.replica_status(t.replicas(events), cat.with_offsets(catalog), newest["last_at"], published)
 
 
 @query(f"+ {STATUS} SELECT source, address, state, {STATE_CODE} AS state_code, behind_bytes, CAST(behind_seconds AS BIGINT) AS behind_seconds FROM status")

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..sources import tables as t
+from ..sources.shared import shared_folder
 from ..streaming import ingest
 from .catalog import query
 from .health import ROLED, _roled
 
 
 def _folder(spark) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or a local one for a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(

@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 #: Bytes before the first event of a file, and of an event's header.
 MAGIC_BYTES, HEADER_BYTES = 4, 19
+#: Event numbers that one task of a running sum takes of a file or a source.
+PART_EVENTS = 100_000
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -19,30 +23,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def running(events: DataFrame, key: str, order: str, value, name: str) -> DataFrame:
+    """events with `name`: the sum of value over the rows of the same key before this one by `order`, a number from 0.
+
+    A key's rows are summed in parts of PART_EVENTS numbers; the parts' sums, one row each, give each part its
+    start. So no task sorts a whole key, and the rows are dealt once.
+    """
+    parted = events.withColumns({"_part": F.floor(F.col(order) / PART_EVENTS), "_value": value})
+    sums = parted.groupBy(key, "_part").agg(F.sum("_value").alias("_sum"))
+    upto = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(key, "_part", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0))
+    return parted.join(starts, [key, "_part"]).withColumn(name, total.cast("long")).drop("_part", "_value", "_start")
+
+
+def change_events(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
     """One row an event: file and position, source and transaction number, length, seconds since 1970.
 
     Days are numbered in a table of their own, one row a day, so that no window runs over
-    all events; positions are summed file by file and numbers source by source.
+    all events; positions are running sums in a file, numbers running counts of a source. keep: the rows are
+    kept in the shared folder, for queries that read them more than once.
     """
     events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source"), "event_type", "props", "value", F.to_date("ts").alias("day"), F.expr(f"timestampdiff(SECOND, {EPOCH}, ts)").alias("tsec"))
     days = events.select("day").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("day")).cast("long"))
     sized = events.join(F.broadcast(days), "day").withColumn("len", (F.lit(HEADER_BYTES) + F.length("event_type") + F.length("props")).cast("long"))
-    before = Window.partitionBy("file_no").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.select(
+    placed = running(running(sized, "file_no", "event_id", F.col("len"), "pos"), "source", "event_id", F.lit(1), "gno")
+    out = placed.select(
         "event_id",
         "source",
-        F.row_number().over(Window.partitionBy("source").orderBy("event_id")).cast("long").alias("gno"),
+        (F.col("gno") + 1).alias("gno"),
         "event_type",
         "day",
         "file_no",
         file_name(F.col("file_no")).alias("file"),
         "len",
-        (F.lit(MAGIC_BYTES) + F.coalesce(F.sum("len").over(before), F.lit(0))).cast("long").alias("pos"),
+        (F.col("pos") + MAGIC_BYTES).alias("pos"),
         "tsec",
         "value",
         "props",
     ).withColumn("end_pos", F.col("pos") + F.col("len"))
+    return kept(out) if keep else out
 
 
 def file_name(number, base: str = "log"):
@@ -74,7 +95,7 @@ def held_set(events: DataFrame) -> DataFrame:
 
 
 def replicas(events: DataFrame) -> DataFrame:
-    """One row a subscriber, of each user: where it is, when, and whether it idles. Every fifth time is unknown (0)."""
+    """One row a subscriber, of each user: where it is, when, whether it dumps and idles. Every fifth time is unknown (0)."""
     last = events.groupBy("source").agg(F.max_by(F.struct("file_no", "file", "end_pos", "tsec"), "event_id").alias("at"))
     return last.select(
         F.format_string("10.%d.%d.%d", (F.col("source") / 65536).cast("int"), ((F.col("source") / 256) % 256).cast("int"), (F.col("source") % 256).cast("int")).alias("address"),
@@ -84,6 +105,7 @@ def replicas(events: DataFrame) -> DataFrame:
         F.col("at.end_pos").alias("pos"),
         F.when(F.col("source") % 5 == 0, 0).otherwise(F.col("at.tsec")).cast("long").alias("tsec"),
         (F.col("source") % 3 == 0).alias("idle"),
+        (F.col("source") % 4 != 1).alias("dumping"),
         "source",
     )
 
@@ -107,7 +129,7 @@ change_events AS (
 ), held AS (SELECT DISTINCT user_id AS source, CAST(1 AS BIGINT) AS start, CAST(20 + user_id % 7 AS BIGINT) AS "end" FROM events
 ), replicas AS (
   SELECT '10.' || source // 65536 || '.' || (source // 256) % 256 || '.' || source % 256 AS address, 'user' || source AS "user",
-    a.file_no, a.file, a.end_pos AS pos, CAST(CASE WHEN source % 5 = 0 THEN 0 ELSE a.tsec END AS BIGINT) AS tsec, source % 3 = 0 AS idle, source
+    a.file_no, a.file, a.end_pos AS pos, CAST(CASE WHEN source % 5 = 0 THEN 0 ELSE a.tsec END AS BIGINT) AS tsec, source % 3 = 0 AS idle, source % 4 <> 1 AS dumping, source
   FROM (SELECT source, arg_max({'file_no': file_no, 'file': file, 'end_pos': end_pos, 'tsec': tsec}, event_id) AS a FROM change_events GROUP BY source)
 )"""
 
