@@ -51,7 +51,7 @@ def rendered_turn() -> Column:
 def format_chats(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """(conv_id, part, n_turns, n_roles, text): the retained conversations, rendered in the order of their turns.
 
-    Conversations that begin longer ones are dropped, and of equal ones only the
+    Texts are shuffled once. Conversations that begin longer ones are dropped, and of equal ones only the
     smallest conv_id stays. A conversation of over `part_turns` turns is rendered in
     parts that follow each other, so that no row gathers more. Rows with a null
     conv_id form one conversation. Turns with equal numbers are ordered by role and text, nulls last;
