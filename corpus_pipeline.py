@@ -3,6 +3,9 @@
 STAGES lists them; each takes (spark, docs, sf_dir) and returns documents, the last
 one with shard and slot. run() writes what a stage returns as Parquet in the
 shared folder and reads it as the next stage's documents.
+
+In every stage columns of other names are carried along, repeated rows are rows of their own unless said
+otherwise, long texts are read whole, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,27 +20,33 @@ from tidelog.llm.common import documents, use_checkpoint_dir, word_count
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or are probably bad by the votes of all rules, go."""
+    """Documents that fail the base rules, or are probably bad by the votes of all rules, go. Null and empty texts fail; equal texts share one fate."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents alike in 0.8 or more of their five-word shingles, the smallest doc_id stays."""
+    """Of each group of documents alike in 0.8 or more of their five-word shingles, the smallest doc_id stays, of repeated rows one.
+
+    Null and empty texts form one group; a null doc_id stays only if its group has no other.
+    """
     return simhash.keep_one_of_each(docs, width=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten consecutive words of a benchmark item, or a whole shorter item, go."""
+    """Documents with ten consecutive words of a benchmark item, or a whole shorter item, go. Null texts and texts without words stay; so does all if there is no benchmark."""
     return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weigh 5, 2, 1 in turn; the mix takes 150 % of the words, no document more than twice."""
+    """Sources weigh 5, 2, 1 in turn; the mix takes 150 % of the words, no document more than twice.
+
+    A null source is a source of its own, the last one. Documents without words go. Ties in the order of a source are broken by the hash that draws it.
+    """
     return mix.mixed_documents(docs, mix.code_point_weights(docs), 1.5, 2, word_count(F.col("text")))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A uniform shuffle into 24 shards whose sizes differ by one at most."""
+    """A uniform shuffle into 24 shards whose sizes differ by one at most. Nulls are values like others; ties fall in any order; with fewer rows than shards some stay empty."""
     return shard.shard_documents(docs, shards=24)
 
 
