@@ -206,12 +206,11 @@ def j7_idle_heartbeats(spark, sf_dir):
 
 @query(
     """+ left_over AS (SELECT file_no FROM file_catalog WHERE file_no > (SELECT max(file_no) // 5 FROM file_catalog)),
-  requests AS (SELECT source % 10 AS r, source % 13 <> 5 AS ok_text, source, CASE WHEN source % 17 = 4 THEN 2 ELSE start END AS start, CASE WHEN source % 10 IN (1, 2) THEN "end" + 1000000 ELSE "end" + 30 * (source % 10) END AS "end" FROM held
-    UNION ALL SELECT r, true, source, 1, 1000000 FROM (SELECT DISTINCT source % 10 AS r FROM held) a, (SELECT DISTINCT source FROM held) b WHERE r IN (3, 4) AND NOT (r = 4 AND source = 2) AND source % 10 <> r AND source <> 7
-    UNION ALL SELECT r, true, source, 1, 1000000 FROM (SELECT DISTINCT source % 10 AS r FROM held) a, (SELECT DISTINCT source FROM held) b WHERE r = 8 AND source % 10 <> 8),
+  requests AS (SELECT source % 10 AS r, source <> 5 AS ok_text, CASE WHEN source = 7 THEN -7 ELSE source END AS source, CASE WHEN source % 10 = 6 THEN 2 ELSE start END AS start, "end" + source % 10 AS "end" FROM held
+    UNION ALL SELECT r, true, source, 1, 1000000000 FROM (SELECT DISTINCT source % 10 AS r FROM held) a, (SELECT source FROM held) b WHERE r IN (3, 4, 8) AND source % 10 <> r AND NOT (r = 4 AND source = 2)),
   lacking AS (SELECT DISTINCT a.r, p.file_no FROM (SELECT DISTINCT r FROM requests) a, previous_sets p WHERE NOT EXISTS (SELECT 1 FROM requests q WHERE q.r = a.r AND q.source = p.source AND q.start <= p.start AND q."end" >= p."end")),
   starts AS (SELECT a.r, max(f.file_no) AS start_no FROM (SELECT DISTINCT r FROM requests) a, left_over f WHERE NOT EXISTS (SELECT 1 FROM lacking l WHERE l.r = a.r AND l.file_no = f.file_no) GROUP BY a.r),
-  decided AS (SELECT q.r, CASE WHEN NOT bool_and(ok_text) THEN 'bad_set' WHEN bool_or(q.source = 7) THEN 'own_uuid' WHEN any_value(s.start_no) IS NULL THEN 'purged' ELSE 'ok' END AS decision, any_value(s.start_no) AS start_no
+  decided AS (SELECT q.r, CASE WHEN NOT bool_and(ok_text) THEN 'bad_set' WHEN bool_or(q.source = -7) THEN 'own_uuid' WHEN any_value(s.start_no) IS NULL THEN 'purged' ELSE 'ok' END AS decision, any_value(s.start_no) AS start_no
     FROM requests q LEFT JOIN starts s ON s.r = q.r GROUP BY q.r)
   SELECT CAST(r AS BIGINT) AS address, decision, CASE WHEN decision = 'ok' THEN start_no END AS start_no FROM decided"""
 )
@@ -221,12 +220,12 @@ def d11_start_decisions(spark, sf_dir):
     held, source, own = t.held_set(events), F.col("source"), F.col("source") % 10
     newest = events.agg(F.max("file_no")).first()[0] or 0
     left = t.file_catalog(events).where(F.col("file_no") > newest // 5)
-    few = held.select(own.alias("address"), (source % 13 != 5).alias("ok_text"), "source", F.when(source % 17 == 4, 2).otherwise(F.col("start")).cast("long").alias("start"), F.when(own.isin(1, 2), F.col("end") + 1_000_000).otherwise(F.col("end") + 30 * own).alias("end"))
+    few = held.select(own.alias("address"), (source != 5).alias("ok_text"), F.when(source == 7, -7).otherwise(source).cast("long").alias("source"), F.when(own == 6, 2).otherwise(F.col("start")).cast("long").alias("start"), (F.col("end") + own).alias("end"))
     # ten addresses, three of which hold nearly every source
     addresses = held.select(own.alias("address")).distinct().where(F.col("address").isin(3, 4, 8))
-    most = held.select("source").join(F.broadcast(addresses), (source % 10 != F.col("address")) & ~((F.col("address") == 4) & (source == 2)) & ((F.col("address") == 8) | (source != 7)))
-    every = most.select("address", F.lit(True).alias("ok_text"), "source", F.lit(1).cast("long").alias("start"), F.lit(1_000_000).cast("long").alias("end"))
-    return dmp.start_decision(few.unionByName(every), t.previous_sets(events), left, own_source=7)
+    most = held.select("source").join(F.broadcast(addresses), (source % 10 != F.col("address")) & ~((F.col("address") == 4) & (source == 2)))
+    every = most.select("address", F.lit(True).alias("ok_text"), "source", F.lit(1).cast("long").alias("start"), F.lit(1_000_000_000).cast("long").alias("end"))
+    return dmp.start_decision(few.unionByName(every), t.previous_sets(events), left, own_source=-7)
 
 
 @query("SELECT file_no, 33 & ~1 AS flags, CAST(CASE WHEN file_no % 2 = 0 THEN 0 ELSE created_at END AS BIGINT) AS created FROM file_catalog")
