@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidelog.plans import catalog, health, streams  # noqa: F401
+from tidelog.plans import catalog, health, streams, wire  # noqa: F401
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 

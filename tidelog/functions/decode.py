@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,9 +42,26 @@ def rotate_bytes(position: Column, name: Column) -> Column:
     return F.concat(encoded_number(position, 8), F.encode(name, "UTF-8"))
 
 
-def rotate_fields(body: Column) -> list[Column]:
-    """Position and name of the next file. Positions above 2^55 are refused."""
-    return [F.when(F.hex(F.substring(body, 8, 1)) == "00", little_endian(body, 0, 7)).alias("position"), F.decode(F.substring(body, 9, 1 << 20), "UTF-8").alias("name")]
+def without_trailer(body: Column, checksum_bytes: int) -> Column:
+    """A body without its checksum; null if it is shorter than that."""
+    return F.when(F.octet_length(body) >= checksum_bytes, F.substring(body, F.lit(1), F.octet_length(body) - checksum_bytes))
+
+
+def with_crc32(event: Column) -> Column:
+    """C11: the bytes of an event and its checksum, lowest byte first."""
+    return F.concat(event, encoded_number(F.crc32(event), 4))
+
+
+def rotate_fields(body: Column, checksum_bytes: int = 0) -> list[Column]:
+    """Position and name of the next file; null if the body ends before them. Positions above 2^55 are refused."""
+    content = without_trailer(body, checksum_bytes)
+    position = F.when(F.hex(F.substring(content, 8, 1)) == "00", little_endian(content, 0, 7))
+    return [position.alias("position"), F.when(F.octet_length(content) >= 8, F.decode(F.substring(content, 9, 1 << 20), "UTF-8")).alias("name")]
+
+
+def heartbeat_name(body: Column, checksum_bytes: int = 0) -> Column:
+    """The name that is a heartbeat's first form; empty if there is nothing but a checksum."""
+    return F.decode(F.coalesce(without_trailer(body, checksum_bytes), F.when(body.isNotNull(), F.lit(b""))), "UTF-8")
 
 
 # --- small decoders of one body; they raise ValueError on malformed bytes ---------------------
@@ -102,21 +121,32 @@ def varint_bytes(value: int) -> bytes:
     return b"\xff" + value.to_bytes(8, "little") if size == 9 else (value << size | (1 << size - 1) - 1).to_bytes(size, "little")
 
 
-def transaction_fields(body: bytes) -> tuple[bytes, int, int | None]:
-    """Uuid, gno and the transaction's length, null if the body ends before it."""
-    r = Reader(body)
+def content(body: bytes, checksum_bytes: int) -> bytes:
+    """A body without its checksum."""
+    if len(body) < checksum_bytes:
+        raise ValueError("shorter than its checksum")
+    return body[: len(body) - checksum_bytes]
+
+
+#: The kind of clock that a transaction's body has, the only one there is.
+LOGICAL_CLOCK = 2
+
+
+def transaction_fields(body: bytes, checksum_bytes: int = 0) -> tuple[bytes, int, int | None]:
+    """Uuid, gno and the transaction's length, null if the body ends before it or has another clock. A clock cut short is refused."""
+    r = Reader(content(body, checksum_bytes))
     r.take(1)
-    uuid, gno = r.take(16), r.number(8)
+    uuid, gno = r.take(16), int.from_bytes(r.take(8), "little", signed=True)
     length = None
-    if r.at + 17 < len(body):
-        if r.number(1) != 2:
-            raise ValueError("no logical clock")
+    if r.at < len(r.data) and r.number(1) == LOGICAL_CLOCK:
         r.take(16)
-        if r.at + 7 <= len(body):
+        if r.at + 7 <= len(r.data):
             if r.number(7) >> 55 & 1:  # a second time follows
                 r.take(7)
-            if r.at < len(body):
+            if r.at < len(r.data):
                 length = r.packed()
+                if length is None:
+                    raise ValueError("null length")
     return uuid, gno, length
 
 
@@ -128,27 +158,64 @@ def set_bytes(intervals: list[tuple[bytes, list[tuple[int, int]]]]) -> bytes:
     return out
 
 
-def set_rows(data: bytes) -> list[tuple[bytes, int, int]]:
-    """(uuid, start, end) of an untagged set. Overlapping or adjacent intervals and bytes left over are refused."""
-    r, out, before = Reader(data), [], b""
-    for _ in range(r.number(8)):
-        uuid, last = r.take(16), 0
-        if uuid <= before:
-            raise ValueError("sources out of order")
-        before = uuid
+TAG = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,31}")
+
+
+def tagged_set_rows(data: bytes) -> list[tuple[bytes, str, int, int]]:
+    """(uuid, tag, start, end) of a set in either form, the tag empty where there is none. Overlapping or adjacent
+    intervals of one entry, a tag that is none and bytes left over are refused. A source may come twice."""
+    r, out = Reader(data), []
+    header = r.number(8)
+    form = header >> 56
+    if form > 1:
+        raise ValueError("no such form")
+    sources = (header & (1 << 56) - 1) >> 8 if form else header
+    for _ in range(sources):
+        uuid, tag, last = r.take(16), "", 0
+        if form:
+            size = r.number(1)
+            if size & 1:
+                raise ValueError("tag too long")
+            if size:
+                tag = r.take(size >> 1).decode("latin-1").lower()
+                if not TAG.fullmatch(tag):
+                    raise ValueError("no tag")
         for _ in range(r.number(8)):
             start, end = r.number(8), r.number(8)
-            if start <= last or end <= start or start < 1:
+            if start <= last or end <= start or end >= 1 << 63:
                 raise ValueError("intervals out of order")
-            out.append((uuid, start, end))
+            out.append((uuid, tag, start, end))
             last = end
     if r.at != len(data):
         raise ValueError("bytes are left over")
     return out
 
 
+def set_rows(data: bytes) -> list[tuple[bytes, int, int]]:
+    """(uuid, start, end) of an untagged set."""
+    rows = tagged_set_rows(data)
+    if any(tag for _, tag, _, _ in rows):
+        raise ValueError("a tag")
+    return [(uuid, start, end) for uuid, _, start, end in rows]
+
+
+def encoded_sets(intervals: DataFrame, keys: list[str], tagged: bool = True) -> DataFrame:
+    """(keys, encoded) of merged intervals (keys, uuid, tag, start, end), ordered by uuid and tag. The tagged form is
+    written where a set has a tag; with tagged=False tagged sources are left out."""
+    rows = intervals if tagged else intervals.where("tag = ''")
+    number = lambda c: encoded_number(c, 8)
+    joined = lambda xs, f: F.aggregate(F.array_sort(xs), F.lit(b""), lambda s, x: F.concat(s, f(x)))
+    pairs = joined(F.collect_list(F.struct("start", "end")), lambda x: F.concat(number(x["start"]), number(x["end"])))
+    sources = rows.groupBy(*keys, "uuid", "tag").agg(F.concat(number(F.count(F.lit(1))), pairs).alias("own"))
+    sets = sources.groupBy(*keys).agg(F.collect_list(F.struct("uuid", "tag", "own")).alias("all"), (F.max("tag") > "").alias("has_tag"))
+    size = lambda x: F.concat(encoded_number(F.octet_length(x["tag"]) * 2, 1), F.encode(x["tag"], "UTF-8"))
+    plain = F.concat(number(F.size("all")), joined(F.col("all"), lambda x: F.concat(x["uuid"], x["own"])))
+    with_tags = F.concat(F.lit(b"\x01"), encoded_number(F.size("all"), 6), F.lit(b"\x01"), joined(F.col("all"), lambda x: F.concat(x["uuid"], size(x), x["own"])))
+    return sets.select(*keys, F.when(F.col("has_tag"), with_tags).otherwise(plain).alias("encoded"))
+
+
 def decode_sets(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, uuid, start, end) of a column of encoded sets, a row an interval; uuid is null where a set is malformed."""
+    """(key, uuid, tag, start, end) of a column of encoded sets, a row an interval; uuid is null where a set is malformed."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +223,14 @@ def decode_sets(df: DataFrame, key: str, column: str) -> DataFrame:
             rows = []
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(k, *x) for x in set_rows(data or b"")]
+                    rows += [(k, *x) for x in tagged_set_rows(data or b"")]
                 except ValueError:
-                    rows.append((k, None, None, None))
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], [key, "uuid", "start", "end"])
+                    rows.append((k, None, None, None, None))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [batch.column(0).type, pa.binary(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [key, "uuid", "tag", "start", "end"])
 
-    return df.select(key, column).mapInArrow(run, f"{key} {kind}, uuid binary, start long, end long")
+    return df.select(key, column).mapInArrow(run, f"{key} {kind}, uuid binary, tag string, start long, end long")
 
 
 def description_bytes(version: Column, created: Column, algorithm: Column) -> Column:
@@ -197,8 +265,9 @@ def tagged_bytes(uuid: bytes, gno: int, tag: str, length: int | None) -> bytes:
     return varint_bytes(1) + varint_bytes(len(fields) + 3) + varint_bytes(TAG_TAG) + fields
 
 
-def tagged_fields(body: bytes) -> tuple[bytes, int, str, int | None]:
+def tagged_fields(body: bytes, checksum_bytes: int = 0) -> tuple[bytes, int, str, int | None]:
     """Uuid, gno, tag and length (null if absent). Fields out of order, missing or overlong are refused."""
+    body = content(body, checksum_bytes)
     r = Reader(body)
     if r.varint() != 1 or r.varint() > len(body):
         raise ValueError("no such message")
@@ -234,9 +303,9 @@ def heartbeat_bytes(name: str, position: int) -> bytes:
     return b"\x01" + packed_bytes(len(raw)) + raw + b"\x02" + packed_bytes(len(inner)) + inner + b"\x00"
 
 
-def heartbeat_fields(body: bytes) -> tuple[str | None, int | None]:
+def heartbeat_fields(body: bytes, checksum_bytes: int = 0) -> tuple[str | None, int | None]:
     """Name and position of a heartbeat's second form; other fields are stepped over."""
-    r, name, position = Reader(body), None, None
+    r, name, position = Reader(content(body, checksum_bytes)), None, None
     while (field := r.packed()) != 0:
         if field is None:
             raise ValueError("null field")
@@ -279,6 +348,94 @@ def decode_transactions(df: DataFrame, key: str, column: str) -> DataFrame:
     return map_bodies(df, key, [column], transaction_fields, "uuid binary, gno long, txn_length long")
 
 
+FILE_HEADER = "name string, size long, created_at long, server_id long, in_use boolean, server_version string, checksum string, header_length long, previous binary, error string"
+#: Bytes of an event's header, of a checksum, and the flag of a file that is being written.
+HEADER_BYTES, CHECKSUM_BYTES, IN_USE = 19, 4, 1
+#: The version from which on events have checksums, as digits of base 256.
+CHECKSUMS_SINCE = 5 << 16 | 6 << 8 | 1
+
+
+def checksum_algorithm(version: str, mark: int) -> str:
+    """What a server of this version calls the algorithm that the mark stands for."""
+    parts = re.match(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})", version)
+    numbers = [int(x) for x in parts.groups()] if parts else [0, 0, 0]
+    if max(numbers) > 255 or numbers[0] << 16 | numbers[1] << 8 | numbers[2] < CHECKSUMS_SINCE:
+        return "UNDEF"
+    return {0: "OFF", 1: "CRC32"}.get(mark, f"UNKNOWN({mark})")
+
+
+def file_header(read: Callable[[int, int], bytes], name: str, size: int) -> tuple:
+    """The fields of FILE_HEADER after name and size, but for the error, from a function that reads bytes at an offset."""
+    if not re.fullmatch(r".+\.[0-9]{6,}", name):
+        raise ValueError("not the name of a log")
+    if read(0, len(MAGIC)) != MAGIC:
+        raise ValueError("no magic")
+
+    def event(at: int, kind: int) -> tuple[tuple, bytes]:
+        head = read(at, HEADER_BYTES)
+        if len(head) < HEADER_BYTES:
+            raise ValueError("file ends in a header")
+        fields = struct.unpack("<IBIIIH", head)
+        if fields[1] != kind:
+            raise ValueError({FORMAT_DESCRIPTION: "no description first", PREVIOUS: "no previous sets after the description"}[kind])
+        if fields[3] < HEADER_BYTES or at + fields[3] > size:
+            raise ValueError("event runs past the end")
+        return fields, read(at + HEADER_BYTES, fields[3] - HEADER_BYTES)
+
+    head, body = event(len(MAGIC), FORMAT_DESCRIPTION)
+    if len(body) < 57 or body[56] < HEADER_BYTES:
+        raise ValueError("description too short")
+    version = body[2:52].split(b"\0")[0].decode("latin-1")
+    checksum = checksum_algorithm(version, body[-5])
+    after, sets = event(len(MAGIC) + head[3], PREVIOUS)
+    sets = content(sets, CHECKSUM_BYTES if checksum == "CRC32" else 0)
+    tagged_set_rows(sets)
+    return head[0], head[2], bool(head[5] & IN_USE), version, checksum, len(MAGIC) + head[3] + after[3], sets
+
+
+def file_headers(files: DataFrame) -> DataFrame:
+    """A row a log file (FILE_HEADER) of spark.read.format("binaryFile"): its description and the sets before it, error null;
+    or, where the file is malformed, only name, size and error. Only paths and lengths come from Spark, so that it
+    does not load the files; a task reads the two events at a file's start, by its path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        parts = [part.strip().split(" ") for part in FILE_HEADER.split(",")]
+        kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+        for batch in batches:
+            rows = []
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                name = unquote(path.rsplit("/", 1)[-1])
+                with store.open_input_file(place) as f:
+                    try:
+                        rows.append((name, size, *file_header(lambda at, n: f.read_at(n, at), name, size), None))  # noqa: B023
+                    except ValueError as e:
+                        rows.append((name, size, *[None] * 7, str(e)))
+            columns = list(zip(*rows, strict=True)) or [()] * len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, parts, strict=True)], [n for n, _ in parts])
+
+    return files.select("path", "length").mapInArrow(run, FILE_HEADER)
+
+
+def write_files(contents: DataFrame, folder: str) -> None:
+    """Writes (name, content) rows as files of a folder that all executors share; a task that runs again replaces its files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+|^/+", "file:///", folder))
+        store.create_dir(place, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{place}/{name}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
+
+    contents.select("name", "content").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
 def scan_log_bytes(files: DataFrame) -> DataFrame:
     """The events of whole log files, as spark.read.format("binaryFile") gives them: (path, pos, timestamp, type, server_id, event_length, next_pos, flags).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,20 +100,110 @@ def is_ipv4_range(network: Column, bits: Column) -> Column:
     return bits.between(0, 32) & (network % F.pow(F.lit(2.0), 32 - bits).cast("long") == 0)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _groups(half: Column) -> Column:
+    """The colon-separated groups of one side of "::"."""
+    return F.filter(F.split(half, ":", -1), lambda g: (g != "") | (half != ""))
+
+
+def ipv6_hex(text: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address; null if malformed or with a zone. The last 32 bits may be an IPv4 address."""
+    dotted = ipv4_number(F.nullif(F.regexp_extract(text, r"^.*:([0-9.]+)$", 1), F.lit("")))
+    tail = _let(dotted, lambda v: F.concat(F.hex(F.shiftright(v, 16)), F.lit(":"), F.hex(v.bitwiseAND(F.lit(65535)))))
+    plain = F.when(text.contains("."), F.concat(F.regexp_extract(text, r"^(.*:)[0-9.]+$", 1), tail)).otherwise(text)
+
+    def filled(front: Column, back: Column) -> Column:
+        return F.concat(front, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(front) - F.size(back), F.lit(1))), back)
+
+    # "::" stands for one group or more and comes once at most
+    sides = lambda h: F.when(F.size(h) == 1, _groups(h[0])).when(F.size(h) == 2, _let(F.struct(_groups(F.get(h, F.lit(0))).alias("f"), _groups(F.get(h, F.lit(1))).alias("b")), lambda x: filled(x["f"], x["b"])))
+    whole = lambda g: F.when((F.size(g) == 8) & F.forall(g, lambda d: d.rlike("^[0-9A-Fa-f]{1,4}$")), F.lower(F.array_join(F.transform(g, lambda d: F.lpad(d, 4, "0")), "")))
+    return _let(_let(F.split(plain, "::", -1), sides), whole)
+
+
+def address_hex(text: Column) -> Column:
+    """An address of either family as 8 or 32 hexadecimal digits; null if malformed."""
+    return F.when(text.contains(":"), ipv6_hex(text)).otherwise(F.lower(F.lpad(F.hex(ipv4_number(text)), 8, "0")))
+
+
+def address_bits(digits: Column) -> Column:
+    """Hexadecimal digits as text of zeros and ones."""
+    return F.array_join(F.transform(F.split(digits, "(?<=.)(?=.)"), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
+
+
+def address_range(text: Column) -> Column:
+    """address[/prefix] as the bits that its addresses begin with; null if malformed, if the prefix is too long or if a
+    bit behind it is set. Without a prefix the range is the address alone. The family is that of the text."""
+    written = F.regexp_extract(text, r"^[^/]*/([0-9]+)$", 1).try_cast("int")
+    bits = address_bits(address_hex(F.split_part(text, F.lit("/"), F.lit(1))))
+    length = lambda b: F.when(text.contains("/"), written).otherwise(F.length(b))
+    cut = lambda x: F.when((x["n"] <= F.length(x["b"])) & ~F.substring(x["b"], x["n"] + 1, F.length(x["b"])).contains("1"), F.substring(x["b"], F.lit(1), x["n"]))
+    return _let(bits, lambda b: _let(F.struct(b.alias("b"), length(b).alias("n")), cut))
+
+
+def in_address_range(address: Column, network: Column) -> Column:
+    """Whether an address is in a range, both as text and of one family; null if either is malformed."""
+    inside = address_bits(address_hex(address)).startswith(address_range(network))
+    return F.when(inside.isNotNull(), inside & (address.contains(":") == network.contains(":")))
+
+
 def set_text(intervals) -> Column:
     """C17: intervals, an array of structs (start, end) half-open, as a or a-b inclusive, colon-joined."""
     one = lambda x: F.when(x["end"] == x["start"] + 1, x["start"].cast("string")).otherwise(F.concat(x["start"].cast("string"), F.lit("-"), (x["end"] - 1).cast("string")))
     return F.array_join(F.transform(F.array_sort(intervals), one), ":")
 
 
+def _gno(digits: Column) -> Column:
+    """A transaction number from its digits; null if it is none or out of range."""
+    number = digits.try_cast("decimal(38,0)")
+    return F.when(number.between(1, MOST_GNO), number).cast("long")
+
+
+def _interval(part: Column) -> Column:
+    """a or a-b as a half-open struct (start, end); null if malformed, descending or out of range."""
+    first = _gno(F.regexp_extract(part, r"^([0-9]+)(?:-[0-9]+)?$", 1))
+    last = F.when(part.contains("-"), _gno(F.regexp_extract(part, r"^[0-9]+-([0-9]+)$", 1))).otherwise(first)
+    return F.when(last >= first, F.struct(first.alias("start"), (last + 1).alias("end")))
+
+
 def set_intervals(text: Column) -> Column:
     """A source's text name:a-b:c as array of structs (start, end), half-open; null if an interval is malformed, descending or out of range."""
     parts = F.slice(F.split(text, ":", -1), F.lit(2), F.greatest(F.size(F.split(text, ":", -1)) - 1, F.lit(0)))
-    first = lambda x: F.regexp_extract(x, r"^([0-9]{1,18})(?:-[0-9]{1,18})?$", 1)
-    last = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^[0-9]{1,18}-([0-9]{1,18})$", 1), F.lit("")), first(x))
-    good = lambda x: (first(x) != "") & (F.when(first(x) != "", first(x)).cast("long") >= 1) & (F.when(last(x) != "", last(x)).cast("long") >= F.when(first(x) != "", first(x)).cast("long"))
-    number = lambda c: F.when(c != "", c).cast("long")
-    return F.when(F.forall(parts, good), F.transform(parts, lambda x: F.struct(number(first(x)).alias("start"), (number(last(x)) + 1).alias("end"))))
+    return F.when(F.forall(parts, lambda x: _interval(x).isNotNull()), F.transform(parts, _interval))
+
+
+SET_ROW = "struct<uuid:string,tag:string,start:bigint,end:bigint>"
+
+
+def set_rows(text: Column) -> Column:
+    """uuid[:tag][:a[-b]]..., comma-joined, as an array of (uuid, tag, start, end), half-open; null if any part is malformed.
+
+    A tag holds for the intervals behind it, up to the next tag. Spaces may only follow a comma. A uuid without
+    intervals adds none, an empty text is the empty set. Intervals stay as they are written: merge_intervals joins them.
+    """
+    entries = F.filter(F.split(text, r",[ \t\n\x0B\f\r]*", -1), lambda e: e != "")
+    shape = r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?::(?:[0-9]+(?:-[0-9]+)?|[A-Za-z_][A-Za-z0-9_]{0,31}))*\z"
+
+    def rows(entry: Column) -> Column:
+        parts = F.split(F.substring(entry, 38, 1 << 30), ":", -1)
+        uuid = F.lower(F.substring(entry, 1, 36))
+        start = F.struct(F.lit("").alias("tag"), F.array().cast(f"array<{SET_ROW}>").alias("rows"))
+
+        def take(state: Column, part: Column) -> Column:
+            x = _interval(part)
+            row = F.struct(uuid.alias("uuid"), state["tag"].alias("tag"), x["start"].alias("start"), x["end"].alias("end")).cast(SET_ROW)
+            is_tag = part.rlike("^[A-Za-z_]")
+            return F.struct(F.when(is_tag, F.lower(part)).otherwise(state["tag"]).alias("tag"), F.when(is_tag | (part == ""), state["rows"]).otherwise(F.array_append(state["rows"], row)).alias("rows"))
+
+        return F.aggregate(parts, start, take, lambda s: s["rows"])
+
+    all_rows = F.flatten(F.transform(entries, rows))
+    good = F.forall(entries, lambda e: e.rlike(shape)) & F.forall(all_rows, lambda r: r["start"].isNotNull())
+    return F.when(good, all_rows)
 
 
 def request_line(line: Column) -> Column:

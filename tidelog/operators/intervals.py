@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parse import set_text
+
 
 def merge_intervals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The union of the intervals of each key, sorted disjoint intervals (F1).
@@ -36,6 +38,16 @@ def numbers_to_intervals(df: DataFrame, keys: Sequence[str], number: str = "gno"
     return runs.groupBy(*keys, "_run").agg(F.min(number).alias("start"), (F.max(number) + 1).alias("end")).drop("_run")
 
 
+def set_texts(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """C17: (keys, text) of merged intervals (keys, uuid as text, tag, start, end): sources by uuid and tag, a comma and a line
+    break between uuids, an interval as a or a-b. A set is a row's text and so has to fit in one."""
+    own = intervals.groupBy(*keys, "uuid", "tag").agg(set_text(F.collect_list(F.struct("start", "end"))).alias("own"))
+    joined = lambda xs, f, by: F.array_join(F.transform(F.array_sort(xs), f), by)
+    tags = joined(F.collect_list(F.struct("tag", "own")), lambda x: F.concat(F.when(x["tag"] > "", F.concat(F.lit(":"), x["tag"])).otherwise(F.lit("")), F.lit(":"), x["own"]), "")
+    sources = own.groupBy(*keys, "uuid").agg(F.concat("uuid", tags).alias("one"))
+    return sources.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("one")), ",\n").alias("text"))
+
+
 def covered(df: DataFrame, held: DataFrame, keys: Sequence[str], how: str, number: str = "gno") -> DataFrame:
     """Rows of df whose number lies in the merged set held (left_semi), or does not (left_anti).
 
