@@ -396,7 +396,7 @@ def file_header(read: Callable[[int, int], bytes], name: str, size: int) -> tupl
 def file_headers(files: DataFrame) -> DataFrame:
     """A row a log file (FILE_HEADER) of spark.read.format("binaryFile"): its description and the sets before it, error null;
     or, where the file is malformed, only name, size and error. Only paths and lengths come from Spark, so that it
-    does not load the files; a task reads the two events at a file's start, by its path."""
+    does not load the files; a task reads the two events at a file's start, by its path. Spark lists no empty files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

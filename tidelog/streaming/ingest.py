@@ -14,6 +14,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.transactions import step
@@ -61,3 +62,12 @@ def append_to_table(stream: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The gaps that a stream of ordered_events stays at, from its checkpoint: (file_no, appended, first_waiting, waiting).
+
+    A file without events that wait has no row.
+    """
+    state = spark.read.format("statestore").load(checkpoint).select("key.file_no", "value.groupState.*")
+    return state.where(F.size("poss") > 0).select("file_no", "appended", F.array_min("poss").alias("first_waiting"), F.size("poss").cast("long").alias("waiting"))
