@@ -116,17 +116,30 @@ def resume_mismatches(stored: DataFrame, resent: DataFrame) -> DataFrame:
 
 
 def settings_violations(settings: DataFrame) -> DataFrame:
-    """(name, rule) for each rule of space that a settings row breaks."""
+    """(name, rule) for each rule that a settings row breaks. Rules of min_free, window and period apply where there are such columns."""
     rules = {
         "low_below_high": F.col("low") < F.col("high"),
         "reserve_fits": F.col("high") + F.col("reserve") <= F.col("most"),
         "all_positive": (F.col("low") > 0) & (F.col("high") > 0) & (F.col("reserve") > 0) & (F.col("most") > 0),
         "cache_at_least_2_mib": F.col("cache") >= 2 * MIB,
     }
+    rules |= {f"{c}_positive": F.col(c) > 0 for c in ("min_free", "window", "period") if c in settings.columns}
     broken = F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in rules.items())))
     return settings.select("name", F.explode(broken).alias("rule"))
 
 
+def reload_changes(running: DataFrame, loaded: DataFrame) -> DataFrame:
+    """E5: (user, change, applied), a row for each difference between the users of two configurations: removed, added and
+    password wait for a restart, hosts take effect at once. Both have user, secret and hosts; a user may change twice."""
+    ours, theirs = (df.select("user", F.struct("secret", "hosts").alias(side)) for df, side in ((running, "a"), (loaded, "b")))
+    a, b = F.col("a"), F.col("b")
+    both = a.isNotNull() & b.isNotNull()
+    changed = lambda c: both & ~a[c].eqNullSafe(b[c])
+    changes = F.array(F.when(b.isNull(), "removed"), F.when(a.isNull(), "added"), F.when(changed("secret"), "password"), F.when(changed("hosts"), "hosts"))
+    rows = ours.join(theirs, "user", "full_outer").select("user", F.explode(F.array_compact(changes)).alias("change"))
+    return rows.withColumn("applied", F.col("change") == "hosts")
+
+
 def cache_warning(cache: Column, memory: Column) -> Column:
     """A cache larger than the host's memory."""
     return F.when(cache > memory, F.concat(F.lit("cache of "), cache, F.lit(" bytes exceeds memory of "), memory))

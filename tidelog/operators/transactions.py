@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import is_valid_gno
 from .intervals import merge_intervals, numbers_to_intervals, union_sets
 
 
@@ -63,6 +64,15 @@ def group_strictly(events: DataFrame) -> DataFrame:
     return events.select(*columns).repartition("file_no").sortWithinPartitions("file_no", "pos").mapInArrow(walk, "event_id long, file_no long, pos long, end_pos long, outcome string")
 
 
+def start_faults(starts: DataFrame) -> DataFrame:
+    """Starts of transactions (gno, anonymous, txn_length) that are malformed, each with its `fault`; such a start opens none.
+
+    number: anonymous ones have 0, others 1 to 2^63-2; no_length: it is null; zero_length.
+    """
+    fault = F.when(~F.coalesce(is_valid_gno(F.col("gno"), F.col("anonymous")), F.lit(False)), "number").when(F.col("txn_length").isNull(), "no_length").when(F.col("txn_length") == 0, "zero_length")
+    return starts.withColumn("fault", fault).where("fault IS NOT NULL")
+
+
 def published_positions(outcomes: DataFrame) -> DataFrame:
     """Per file the end of the last event after which no transaction is open."""
     return outcomes.where(F.col("outcome").isin("GroupEnd", "Standalone")).groupBy("file_no").agg(F.max("end_pos").alias("published_pos"))

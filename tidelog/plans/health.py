@@ -225,16 +225,29 @@ def f6_executed(spark, sf_dir):
     return transactions.executed(t.previous_sets(events), done, newest)
 
 
-@query('SELECT source, start, "end" FROM previous_sets WHERE file_no = 5')
+OLDEST = "oldest AS (SELECT min(file_no) AS n FROM file_catalog WHERE created_at >= (SELECT max(created_at) FROM file_catalog) - 20 * 86400)"
+
+
+def _oldest(events):
+    """The oldest file that a retention of 20 days leaves."""
+    files = events.groupBy("file_no").agg(F.min("tsec").alias("created_at"))
+    newest = files.agg(F.max("created_at").alias("newest"))
+    return files.join(F.broadcast(newest), how="cross").where(F.col("created_at") >= F.col("newest") - 20 * 86400).agg(F.min("file_no")).first()[0] or 0
+
+
+@query(f'+ {OLDEST} SELECT source, start, "end" FROM previous_sets, oldest WHERE file_no = n')
 def f7_purged(spark, sf_dir):
-    return transactions.purged(t.previous_sets(t.change_events(spark, sf_dir)), 5)
+    events = t.change_events(spark, sf_dir, keep=True)
+    return transactions.purged(t.previous_sets(events), _oldest(events))
 
 
-@query('SELECT source, CAST(1 AS BIGINT) AS start, max("end") AS "end" FROM previous_sets WHERE file_no IN (5, 9) GROUP BY source')
+@query(f'+ {OLDEST} SELECT source, CAST(1 AS BIGINT) AS start, max("end") AS "end" FROM previous_sets, oldest WHERE file_no = n OR file_no = (SELECT max(file_no) FROM file_catalog) GROUP BY source')
 def j6_start_set(spark, sf_dir):
-    previous = t.previous_sets(t.change_events(spark, sf_dir))
+    """What precedes the oldest file that is left, and what precedes the newest."""
+    events = t.change_events(spark, sf_dir, keep=True)
+    previous, newest = t.previous_sets(events), events.agg(F.max("file_no")).first()[0] or 0
     side = lambda n: previous.where(F.col("file_no") == n)
-    return iv.union_sets(side(5), side(9), ["source"])
+    return iv.union_sets(side(_oldest(events)), side(newest), ["source"])
 
 
 STATUS = """off AS (SELECT file, CAST(coalesce(sum(size) OVER (ORDER BY file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM file_catalog),

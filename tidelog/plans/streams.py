@@ -44,3 +44,19 @@ def j2_stream_hourly_counts(spark, sf_dir):
     query = hours.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2", derived=False)
+def j2_stream_hourly_totals(spark, sf_dir):
+    """Events of every hour over a stream, those that are still open too: each batch writes the counts it changed to a folder of its own, the last one holds."""
+    folder = _folder(spark)
+    events = t.table(spark, sf_dir, "events").select("ts", "event_type")
+    events.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    counts = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    counts.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    return done.groupBy(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.max_by("n", "batch").alias("n"))

@@ -1,4 +1,4 @@
-"""Queries over bytes and texts in full: tagged sets, trailers, headers of files, addresses, appends and answers."""
+"""Queries over bytes and texts in full: tagged sets, trailers, headers of files, addresses; and rules with planted faults."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import decode, parse
-from ..operators import append
+from ..operators import append, checks, transactions
 from ..operators import intervals as iv
 from ..operators import statements as st
 from ..sources import tables as t
@@ -156,3 +156,36 @@ def k2_select_answers(spark, sf_dir):
     session = F.when(F.col("source") % 2 == 0, F.create_map(F.concat(F.lit("u"), "source"), F.lit("set"))).otherwise(F.create_map().cast("map<string,string>"))
     asked = events.select("event_id", "tsec", sql.alias("sql"), session.alias("session"))
     return st.select_answers(asked, variables, F.col("tsec")).select("event_id", "names", "values", "error")
+
+
+@query(
+    """WITH s AS (SELECT s_name AS name, 1000 * (s_suppkey % 5) AS low, 100 * s_nationkey AS reserve, 1048576 * (s_suppkey % 4) AS cache, s_suppkey % 3 AS min_free, s_suppkey % 7 AS win, s_suppkey % 11 AS period FROM supplier)
+  SELECT name, 'low_below_high' AS rule FROM s WHERE low >= 3000 UNION ALL SELECT name, 'reserve_fits' FROM s WHERE reserve > 1000 UNION ALL SELECT name, 'all_positive' FROM s WHERE low <= 0 OR reserve <= 0
+  UNION ALL SELECT name, 'cache_at_least_2_mib' FROM s WHERE cache < 2097152 UNION ALL SELECT name, 'min_free_positive' FROM s WHERE min_free = 0 UNION ALL SELECT name, 'window_positive' FROM s WHERE win = 0 UNION ALL SELECT name, 'period_positive' FROM s WHERE period = 0""",
+    derived=False,
+)
+def d10_all_settings(spark, sf_dir):
+    k = F.col("s_suppkey")
+    columns = {"name": F.col("s_name"), "low": 1000 * (k % 5), "high": F.lit(3000), "reserve": 100 * F.col("s_nationkey"), "most": F.lit(4000), "cache": checks.MIB * (k % 4), "min_free": k % 3, "window": k % 7, "period": k % 11}
+    return checks.settings_violations(t.table(spark, sf_dir, "supplier").select(*(c.alias(n) for n, c in columns.items())))
+
+
+@query(
+    """SELECT c_name AS "user", unnest(CASE c_custkey % 10 WHEN 1 THEN ['added'] WHEN 4 THEN ['removed'] WHEN 2 THEN ['password'] WHEN 3 THEN ['hosts'] ELSE ['password', 'hosts'] END) AS change, unnest(CASE c_custkey % 10 WHEN 3 THEN [true] WHEN 5 THEN [false, true] ELSE [false] END) AS applied FROM customer WHERE c_custkey % 10 BETWEEN 1 AND 5""",
+    derived=False,
+)
+def e5_reload_all_changes(spark, sf_dir):
+    """Users that are added, removed, or have another password, other hosts or both."""
+    c, k = t.table(spark, sf_dir, "customer"), F.col("c_custkey") % 10
+    users = lambda rows, secret, hosts: rows.select(F.col("c_name").alias("user"), secret.alias("secret"), hosts.alias("hosts"))
+    running = users(c.where(k != 1), F.col("c_mktsegment"), F.col("c_nationkey"))
+    loaded = users(c.where(k != 4), F.when(k.isin(2, 5), "x").otherwise(F.col("c_mktsegment")), F.when(k.isin(3, 5), -1).otherwise(F.col("c_nationkey")))
+    return checks.reload_changes(running, loaded)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 IN (1, 2) THEN 'number' WHEN event_id % 6 = 3 THEN 'no_length' ELSE 'zero_length' END AS fault FROM change_events WHERE event_id % 6 BETWEEN 1 AND 4")
+def g6_start_faults(spark, sf_dir):
+    """Starts with planted faults: a number out of range, an anonymous one with a number, no length, a length of 0."""
+    events, k = t.change_events(spark, sf_dir), F.col("event_id") % 6
+    starts = events.select("event_id", F.when(k == 1, F.lit(2**63 - 1)).when(k == 5, 0).otherwise(F.col("gno")).alias("gno"), k.isin(2, 5).alias("anonymous"), F.when(k == 3, None).when(k == 4, 0).otherwise(F.col("len")).alias("txn_length"))
+    return transactions.start_faults(starts).select("event_id", "fault")

@@ -80,13 +80,11 @@ def file_catalog(events: DataFrame) -> DataFrame:
 def previous_sets(events: DataFrame) -> DataFrame:
     """(file_no, source, start, end): transactions of each source before a file, half-open. A source's numbers have no gaps here."""
     last = events.groupBy("source", "file_no").agg(F.max("gno").alias("last"))
-    since = last.groupBy("source").agg(F.min("file_no").alias("since"))
-    files = events.select(F.col("file_no").alias("f")).distinct()
-    grid = since.join(files, F.col("f") >= F.col("since")).drop("since")
-    filled = grid.join(last.select(F.col("source").alias("s"), F.col("file_no").alias("n"), "last"), (F.col("source") == F.col("s")) & (F.col("f") == F.col("n")), "left")
-    upto = Window.partitionBy("source").orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
-    ended = filled.withColumn("end", F.max("last").over(upto) + 1)
-    return ended.where(F.col("end").isNotNull()).select(F.col("f").alias("file_no"), "source", F.lit(1).cast("long").alias("start"), "end")
+    # what a file ends with holds for the files behind it, up to the next one that has the source; file numbers have no gaps
+    newest = events.agg(F.max("file_no").alias("newest"))
+    until = F.coalesce(F.lead("file_no").over(Window.partitionBy("source").orderBy("file_no")), "newest")
+    held = last.join(F.broadcast(newest), how="cross").withColumn("until", until).where("until > file_no")
+    return held.select(F.explode(F.sequence(F.col("file_no") + 1, "until")).alias("file_no"), "source", F.lit(1).cast("long").alias("start"), (F.col("last") + 1).alias("end"))
 
 
 def held_set(events: DataFrame) -> DataFrame:
