@@ -21,10 +21,15 @@ def little_endian(binary: Column, offset: int, length: int) -> Column:
     return F.when(F.octet_length(binary) >= offset + length, F.conv(F.array_join(F.reverse(pairs), ""), 16, 10).cast("long"))
 
 
+def number_hex(value: Column, length: int) -> Column:
+    """The bytes of a number, lowest first, as hexadecimal digits."""
+    digits = F.lpad(F.hex(value.cast("long")), 2 * length, "0")
+    return F.regexp_replace(digits, "(..)" * length, "".join(f"${i}" for i in range(length, 0, -1)))
+
+
 def encoded_number(value: Column, length: int) -> Column:
     """The bytes of a number, lowest first."""
-    pairs = F.regexp_extract_all(F.lpad(F.hex(value.cast("long")), 2 * length, "0"), F.lit("(..)"), F.lit(1))
-    return F.unhex(F.array_join(F.reverse(pairs), ""))
+    return F.unhex(number_hex(value, length))
 
 
 def header_bytes(timestamp: Column, kind: Column, server: Column, length: Column, next_pos: Column, flags: Column) -> Column:
@@ -203,15 +208,20 @@ def encoded_sets(intervals: DataFrame, keys: list[str], tagged: bool = True) ->
     """(keys, encoded) of merged intervals (keys, uuid, tag, start, end), ordered by uuid and tag. The tagged form is
     written where a set has a tag; with tagged=False tagged sources are left out."""
     rows = intervals if tagged else intervals.where("tag = ''")
-    number = lambda c: encoded_number(c, 8)
-    joined = lambda xs, f: F.aggregate(F.array_sort(xs), F.lit(b""), lambda s, x: F.concat(s, f(x)))
+    number = lambda c: number_hex(c, 8)
+    # digits are joined at once and become bytes at the end: adding bytes entry by entry would copy a set for each of its entries
+    joined = lambda xs, f: F.array_join(F.transform(F.sort_array(xs), f), "")
     pairs = joined(F.collect_list(F.struct("start", "end")), lambda x: F.concat(number(x["start"]), number(x["end"])))
-    sources = rows.groupBy(*keys, "uuid", "tag").agg(F.concat(number(F.count(F.lit(1))), pairs).alias("own"))
-    sets = sources.groupBy(*keys).agg(F.collect_list(F.struct("uuid", "tag", "own")).alias("all"), (F.max("tag") > "").alias("has_tag"))
-    size = lambda x: F.concat(encoded_number(F.octet_length(x["tag"]) * 2, 1), F.encode(x["tag"], "UTF-8"))
-    plain = F.concat(number(F.size("all")), joined(F.col("all"), lambda x: F.concat(x["uuid"], x["own"])))
-    with_tags = F.concat(F.lit(b"\x01"), encoded_number(F.size("all"), 6), F.lit(b"\x01"), joined(F.col("all"), lambda x: F.concat(x["uuid"], size(x), x["own"])))
-    return sets.select(*keys, F.when(F.col("has_tag"), with_tags).otherwise(plain).alias("encoded"))
+    size = F.concat(number_hex(F.octet_length("tag") * 2, 1), F.hex(F.encode("tag", "UTF-8")))
+    sources = rows.groupBy(*keys, "uuid", "tag").agg(F.unhex(F.concat(number(F.count(F.lit(1))), pairs)).alias("own")).withColumn("size", F.unhex(size))
+    sets = sources.groupBy(*keys).agg(F.collect_list(F.struct("uuid", "tag", "size", "own")).alias("all"), (F.max("tag") > "").alias("has_tag"))
+    plain = F.concat(number(F.size("all")), joined(F.col("all"), lambda x: F.hex(F.concat(x["uuid"], x["own"]))))
+    with_tags = F.concat(F.lit("01"), number_hex(F.size("all"), 6), F.lit("01"), joined(F.col("all"), lambda x: F.hex(F.concat(x["uuid"], x["size"], x["own"]))))
+    return sets.select(*keys, F.unhex(F.when(F.col("has_tag"), with_tags).otherwise(plain)).alias("encoded"))
+
+
+#: Rows of a batch that a task gives back at once.
+BATCH_ROWS = 50_000
 
 
 def decode_sets(df: DataFrame, key: str, column: str) -> DataFrame:
