@@ -115,6 +115,18 @@ def test_headers_of_files(spark, tmp_path):
     assert set(got) == set(files) | set(bad) and all((got[n]["error"] is None) == (n in files) for n in got)
 
 
+def test_a_large_set_in_a_file_is_read_in_parts(spark, tmp_path):
+    count = 2 * decode.BATCH_ROWS + 7
+    sets = decode.set_bytes([(k.to_bytes(16, "big"), [(1, k + 2)]) for k in range(count)])
+    (tmp_path / "log.000001").write_bytes(log_file(mark=0, sets=sets))
+    rows = decode.decode_sets(decode.file_headers(spark.read.format("binaryFile").load(str(tmp_path))), "name", "previous")
+    assert rows.agg(F.count("uuid"), F.sum("end")).first()[:] == (count, sum(range(2, count + 2)))
+    assert rows.select("uuid", "tag", "start").distinct().count() == count
+    files = spark.createDataFrame([("a", bytes(8)), ("b", sets), ("c", b"?"), ("d", TAGGED)], "name string, previous binary").coalesce(1)
+    got = {r["name"]: r["n"] for r in decode.decode_sets(files, "name", "previous").groupBy("name").agg(F.count("uuid").alias("n")).collect()}
+    assert got == {"b": count, "c": 0, "d": 3}
+
+
 def test_append_faults(spark):
     whole = [("announce", 1, 0, 0), ("description", 1, 4, 80), ("previous", 1, 80, 100), ("event", 1, 100, 150), ("event", 1, 150, 160), ("close", 1, 160, 180), ("announce", 2, 0, 0), ("description", 2, 4, 90), ("previous", 2, 90, 99)]
 

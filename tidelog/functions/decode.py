@@ -157,10 +157,8 @@ def transaction_fields(body: bytes, checksum_bytes: int = 0) -> tuple[bytes, int
 
 def set_bytes(intervals: list[tuple[bytes, list[tuple[int, int]]]]) -> bytes:
     """The untagged set of (uuid, [start, end) intervals), sorted and merged."""
-    out = struct.pack("<Q", len(intervals))
-    for uuid, own in sorted(intervals):
-        out += uuid + struct.pack("<Q", len(own)) + b"".join(struct.pack("<QQ", a, b) for a, b in own)
-    return out
+    sources = (uuid + struct.pack("<Q", len(own)) + b"".join(struct.pack("<QQ", a, b) for a, b in own) for uuid, own in sorted(intervals))
+    return struct.pack("<Q", len(intervals)) + b"".join(sources)
 
 
 TAG = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,31}")
@@ -229,16 +227,25 @@ def decode_sets(df: DataFrame, key: str, column: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def full(rows: list, kinds: list) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [key, "uuid", "tag", "start", "end"])
+
         for batch in batches:
-            rows = []
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, kinds = [], [batch.column(0).type, pa.binary(), pa.string(), pa.int64(), pa.int64()]
+            for k, data in zip(batch.column(0), batch.column(1), strict=True):
+                k = k.as_py()
                 try:
-                    rows += [(k, *x) for x in tagged_set_rows(data or b"")]
+                    own = [(k, *x) for x in tagged_set_rows(data.as_py() or b"")]
                 except ValueError:
-                    rows.append((k, None, None, None, None))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [batch.column(0).type, pa.binary(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [key, "uuid", "tag", "start", "end"])
+                    own = [(k, None, None, None, None)]
+                # a large set leaves in parts, small ones together
+                while len(rows) + len(own) >= BATCH_ROWS:
+                    cut = BATCH_ROWS - len(rows)
+                    yield full(rows + own[:cut], kinds)
+                    rows, own = [], own[cut:]
+                rows += own
+            yield full(rows, kinds)
 
     return df.select(key, column).mapInArrow(run, f"{key} {kind}, uuid binary, tag string, start long, end long")
 
