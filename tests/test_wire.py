@@ -5,8 +5,10 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from tidelog.functions import decode, parse
 from tidelog.operators import append, intervals, statements
+from tidelog.plans import wire
 from tidelog.streaming import ingest
 
 U, V = "12345678-1234-1234-1234-1234567890ab", "02345678-1234-1234-1234-1234567890ab"
@@ -95,6 +97,15 @@ def test_addresses(spark):
     assert {(r["a"], r["n"]): r["i"] for r in df.select("a", "n", parse.in_address_range(F.col("a"), F.col("n")).alias("i")).collect()} == cases
 
 
+def test_addresses_are_parsed_once_and_by_all_tasks(spark):
+    digits = ["", "0", "f", "0a000001", "00010002000300040005000600070008", "20010db8" + "f" * 24, "abc", "123456789", None]
+    df = spark.createDataFrame([(x,) for x in digits], "d string")
+    assert [r[0] for r in df.select(parse.address_bits(F.col("d"))).collect()] == [x and "".join(f"{int(c, 16):04b}" for c in x) for x in digits]
+    mentions = lambda c: spark.createDataFrame([], "a string, n string").select(c)._jdf.queryExecution().analyzed().toString().count("split_part(n#")
+    assert mentions(parse.in_address_range(F.col("a"), F.col("n"))) == mentions(parse.address_range(F.col("n"))) > 0
+    assert wire.d8_ipv6_ranges(spark, str(DATA)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def log_file(version=b"8.0.1", mark=1, flags=1, sets=TAGGED, kinds=(15, 35)):
     body = struct.pack("<H", 4) + version.ljust(50, b"\0") + struct.pack("<IB", 9, 19) + bytes(40) + bytes([mark]) + bytes(4)
     one = lambda kind, b, f: struct.pack("<IBIIIH", 100, kind, 77, 19 + len(b), 0, f) + b

@@ -83,10 +83,9 @@ def tag(text: Column) -> Column:
 
 def ipv4_number(text: Column) -> Column:
     """An address without leading zeros as a number; null if malformed."""
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    pattern = "^" + r"\.".join([octet] * 4) + "$"
-    number = lambda i: F.when(text.rlike(pattern), F.regexp_extract(text, pattern, i)).cast("long")
-    return ((number(1) * 256 + number(2)) * 256 + number(3)) * 256 + number(4)
+    octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    number = lambda i: F.split_part(text, F.lit("."), F.lit(i)).cast("long")
+    return F.when(text.rlike("^" + r"\.".join([octet] * 4) + "$"), ((number(1) * 256 + number(2)) * 256 + number(3)) * 256 + number(4))
 
 
 def in_ipv4_range(address: Column, network: Column, bits: Column) -> Column:
@@ -131,15 +130,16 @@ def address_hex(text: Column) -> Column:
 
 
 def address_bits(digits: Column) -> Column:
-    """Hexadecimal digits as text of zeros and ones."""
-    return F.array_join(F.transform(F.split(digits, "(?<=.)(?=.)"), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
+    """At most 32 hexadecimal digits as text of zeros and ones."""
+    eight = lambda at: F.substring(digits, at, 8)
+    return F.concat(*(F.when(F.length(digits) < at, "").otherwise(F.lpad(F.conv(eight(at), 16, 2), 4 * F.length(eight(at)), F.lit("0"))) for at in (1, 9, 17, 25)))
 
 
 def address_range(text: Column) -> Column:
     """address[/prefix] as the bits that its addresses begin with; null if malformed, if the prefix is too long or if a
     bit behind it is set. Without a prefix the range is the address alone. The family is that of the text."""
     written = F.regexp_extract(text, r"^[^/]*/([0-9]+)$", 1).try_cast("int")
-    bits = address_bits(address_hex(F.split_part(text, F.lit("/"), F.lit(1))))
+    bits = _let(address_hex(F.split_part(text, F.lit("/"), F.lit(1))), address_bits)
     length = lambda b: F.when(text.contains("/"), written).otherwise(F.length(b))
     cut = lambda x: F.when((x["n"] <= F.length(x["b"])) & ~F.substring(x["b"], x["n"] + 1, F.length(x["b"])).contains("1"), F.substring(x["b"], F.lit(1), x["n"]))
     return _let(bits, lambda b: _let(F.struct(b.alias("b"), length(b).alias("n")), cut))
@@ -147,8 +147,9 @@ def address_range(text: Column) -> Column:
 
 def in_address_range(address: Column, network: Column) -> Column:
     """Whether an address is in a range, both as text and of one family; null if either is malformed."""
-    inside = address_bits(address_hex(address)).startswith(address_range(network))
-    return F.when(inside.isNotNull(), inside & (address.contains(":") == network.contains(":")))
+    inside = _let(address_hex(address), address_bits).startswith(address_range(network))
+    # named twice, so computed once: each mention would parse both texts again
+    return _let(inside, lambda i: F.when(i.isNotNull(), i & (address.contains(":") == network.contains(":"))))
 
 
 def set_text(intervals) -> Column:
