@@ -199,6 +199,25 @@ def test_answers(spark):
     assert [r[0] for r in names.select(statements.checksum_variable(F.col("a"))).collect()] == ["NONE", "CRC32", "CRC32", "CRC32"]
 
 
+def test_long_values_meet_only_those_that_ask(spark):
+    text = "1:1-5," * 1000
+    variables = spark.createDataFrame([("gtid_executed", text), ("version", "8"), ("server_uuid", None)], "name string, value string")
+    cases = {
+        "SELECT @@gtid_executed, version(), @@Global.GTID_executed": ([text, "8", text], None),
+        "SELECT @@server_uuid": ([None], None),
+        "SELECT @@version, @a": (["8", "1"], None),
+        "SELECT @@gtid_executed, @@x": (None, 1193),
+        "SELECT 1, @@gtid_executed": (None, 1235),
+        None: (None, 1235),
+    }
+    df = spark.createDataFrame([(x, {"a": "1"}) for x in cases], "sql string, session map<string,string>")
+    out = statements.select_answers(df, variables, F.lit(99))
+    assert {r["sql"]: (r["values"], r["error"]) for r in out.collect()} == cases and out.columns == ["sql", "session", "error", "names", "values"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    crossed, outer = plan.index("Join Cross"), plan.index("Join LeftOuter")
+    assert outer < crossed and "> 256)" in plan  # the map that all rows get has no long value
+
+
 def test_waiting_events_are_listed(spark, tmp_path):
     rows = [(k, k % 3, 4 + 10 * (k // 3), 14 + 10 * (k // 3), False, False, 0) for k in range(30) if k not in (7, 20)]
     spark.createDataFrame(rows, ingest.EVENT_SCHEMA).write.parquet(str(tmp_path / "in"))
