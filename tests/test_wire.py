@@ -1,5 +1,6 @@
 """Bytes and rules with known results: trailers, tags, file headers, appends, resent events, answers, addresses."""
 
+import hashlib
 import struct
 
 import pytest
@@ -218,6 +219,26 @@ def test_long_values_meet_only_those_that_ask(spark):
     assert outer < crossed and "> 256)" in plan  # the map that all rows get has no long value
 
 
+def test_answers_are_written_with_one_set_a_file(spark, tmp_path):
+    """700 statements ask for a set of 1,039,983 bytes; in one file their times would outgrow the writer's dictionary and bring 700 copies."""
+    first, users = 10**18, 47_272
+    k = F.col("id")
+    event_id = F.when(k < 700, 7 * k + 6).otherwise(7 * k)
+    columns = {"event_id": event_id, "ts": F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)"), "user_id": first + k, "event_type": F.lit("view"), "value": F.lit(0.0), "props": F.lit("{}")}
+    spark.range(users).select(*(c.alias(n) for n, c in columns.items())).write.parquet(str(tmp_path / "events.parquet"))
+    text = ",".join(f"{first + i}:1" for i in range(users))
+    wire.k2_select_answers(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    asked = out.where("event_id % 7 = 6").select("event_id", F.md5(F.col("values")[0].cast("binary")), F.col("values")[1].cast("long"), "error")
+    assert sorted(map(tuple, asked.collect())) == [(7 * i + 6, hashlib.md5(text.encode()).hexdigest(), 1704067200 + i, None) for i in range(700)]
+    assert out.count() == users and out.where("event_id % 7 = 0 AND values = array('7', 'ON')").count() == users - 700
+    files = [p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")]
+    assert sum(files) < len(files) * len(text) and len(files) < 100
+    assert statements.answer_parts(700, len(text) + 1) == 3  # 280 of 16 bytes beside the set
+    assert statements.answer_parts(857_142, 978_890) == 210 and statements.answer_parts(0, 0) == 0
+    assert statements.answer_parts(700, 1 << 20) == 0  # no dictionary holds it
+
+
 def test_waiting_events_are_listed(spark, tmp_path):
     rows = [(k, k % 3, 4 + 10 * (k // 3), 14 + 10 * (k // 3), False, False, 0) for k in range(30) if k not in (7, 20)]
     spark.createDataFrame(rows, ingest.EVENT_SCHEMA).write.parquet(str(tmp_path / "in"))

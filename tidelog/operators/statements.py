@@ -12,6 +12,9 @@ SYSTEM_VARIABLES = ("server_id", "server_uuid", "gtid_mode", "gtid_executed", "g
 UNKNOWN_VARIABLE, UNSUPPORTED = 1193, 1235
 #: Characters of a value that goes with every statement.
 LONG_VALUE = 256
+#: Bytes of a column's different values that a Parquet writer keeps by default before it writes out every copy; of these one for
+#: each statement, as a time with its length, and some for uneven parts. Statements that a part holds at least.
+DICTIONARY_BYTES, ANSWER_BYTES, SPARE_BYTES, LEAST_STATEMENTS = 1 << 20, 16, 4096, 256
 
 NAME = "[A-Za-z0-9_$]+"
 
@@ -21,6 +24,17 @@ def checksum_variable(algorithm: Column) -> Column:
     return F.when(algorithm == "OFF", "NONE").when(F.coalesce(algorithm, F.lit("")) == "", "CRC32").otherwise(algorithm)
 
 
+def answer_parts(asking: int, long_bytes: int) -> int:
+    """Parts to deal statements into by a key, so that a Parquet file of their answers holds the long values once.
+
+    A file repeats a value by number while its column's different values are below DICTIONARY_BYTES; past that each of the `asking`
+    statements brings the whole long_bytes. 0 if the long values leave no room for LEAST_STATEMENTS: then only a writer
+    with a parquet.dictionary.page.size above them holds them once.
+    """
+    most = (DICTIONARY_BYTES - long_bytes - SPARE_BYTES) // ANSWER_BYTES
+    return -(-asking // most) if most >= LEAST_STATEMENTS else 0
+
+
 def select_answers(statements: DataFrame, variables: DataFrame, now: Column) -> DataFrame:
     """K2, K3: statements (sql, session: a map of user variables by lower-case name) with `names`, `values` and `error`.
 

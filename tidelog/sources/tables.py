@@ -38,6 +38,11 @@ def running(events: DataFrame, key: str, order: str, value, name: str) -> DataFr
     return parted.join(starts, [key, "_part"]).withColumn(name, total.cast("long")).drop("_part", "_value", "_start")
 
 
+def plain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events without files, positions and numbers, for queries that return none of these: no running sums. A source's numbers are 1 to its count."""
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source"), "event_type", "props", "value", F.to_date("ts").alias("day"), F.expr(f"timestampdiff(SECOND, {EPOCH}, ts)").alias("tsec"))
+
+
 def change_events(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
     """One row an event: file and position, source and transaction number, length, seconds since 1970.
 
@@ -45,7 +50,7 @@ def change_events(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataF
     all events; positions are running sums in a file, numbers running counts of a source. keep: the rows are
     kept in the shared folder, for queries that read them more than once.
     """
-    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source"), "event_type", "props", "value", F.to_date("ts").alias("day"), F.expr(f"timestampdiff(SECOND, {EPOCH}, ts)").alias("tsec"))
+    events = plain_events(spark, sf_dir)
     days = events.select("day").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("day")).cast("long"))
     sized = events.join(F.broadcast(days), "day").withColumn("len", (F.lit(HEADER_BYTES) + F.length("event_type") + F.length("props")).cast("long"))
     placed = running(running(sized, "file_no", "event_id", F.col("len"), "pos"), "source", "event_id", F.lit(1), "gno")
